@@ -1,0 +1,22 @@
+"""Queries over case texts: problems 1, 2 and 4."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from caseloom.llm.spans import shared_shares, shared_spans
+from caseloom.plans.tables import current_rows, table
+
+SPAN_CHARS = 200
+
+
+def current(spark: SparkSession, sf_dir: str, *texts: str) -> DataFrame:
+    return current_rows(table(spark, sf_dir, "case_features"), "case_id", "loaded_at", list(texts))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(current(spark, sf_dir, "raw_text"), "case_id", "raw_text", SPAN_CHARS)
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_shares(current(spark, sf_dir, "raw_text"), "case_id", "raw_text", SPAN_CHARS)
