@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from caseloom.llm import queries_cases as cases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": cases.p1_found,
+    "p1_balanced": cases.p1_balanced,
+    "p2_found": cases.p2_found,
+    "p2_groups": cases.p2_groups,
     "p4_found": cases.p4_found,
     "p4_shares": cases.p4_shares,
 }
