@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import queries_cases as cases
+from caseloom.llm import queries_documents as documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": cases.p1_found,
-    "p1_balanced": cases.p1_balanced,
-    "p2_found": cases.p2_found,
-    "p2_groups": cases.p2_groups,
-    "p4_found": cases.p4_found,
-    "p4_shares": cases.p4_shares,
+    name: getattr(module, name)
+    for module, names in (
+        (cases, ("p1_found", "p1_balanced", "p2_found", "p2_groups", "p4_found", "p4_shares")),
+        (documents, ("p6_ids", "p6_counts", "p7_found", "p7_report", "p7_mix")),
+    )
+    for name in names
 }
 
 #: Where SQL over whole tables is too slow or can't say it, there is none; tests compare with brute force.
