@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import queries_cases as cases
 from caseloom.llm import queries_documents as documents
+from caseloom.llm import queries_vectors as vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: getattr(module, name)
     for module, names in (
         (cases, ("p1_found", "p1_balanced", "p2_found", "p2_groups", "p4_found", "p4_shares")),
+        (vectors, ("p3_found", "p3_neighbors")),
         (documents, ("p6_ids", "p6_counts", "p7_found", "p7_report", "p7_mix")),
     )
     for name in names
