@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.neighbors import most_similar
+from caseloom.llm.topn import top_items
 from caseloom.plans.tables import table
 
 NEIGHBORS, COSINE = 10, 0.9
@@ -19,3 +20,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every case, whatever their cosine."""
     return most_similar(table(spark, sf_dir, "case_vectors"), "case_id", "embedding", NEIGHBORS)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_top(spark, sf_dir).select("query_id", "candidate_id")
+
+
+def p5_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_items(table(spark, sf_dir, "ltr_features"), "query_id", "candidate_id", "dense_score", "scored_at", NEIGHBORS)
