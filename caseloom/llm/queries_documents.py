@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm.mixing import mix_sources
+from caseloom.llm.quality import text_quality
 from caseloom.llm.tokens import count_tokens, encode_corpus
 from caseloom.plans.tables import table
 
@@ -32,3 +33,11 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_statistics(spark, sf_dir).where("unprosaic").select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), "doc_id", "text")
