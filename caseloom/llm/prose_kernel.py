@@ -1,7 +1,7 @@
 """Statistics of one text: how its words, lines and blocks compare with running prose.
 
-A *block* is a stretch of lines that reads on: it ends at a blank line, after a line that ends a sentence, and before a
-line that starts with a marker (bullet, number, letter, speaker, "name:"). So wrapped prose is one block however it is
+A *block* is a stretch of lines that reads on: it ends at a blank line, after a line that ends a sentence, before a
+line that starts with a marker (bullet, number, letter, speaker, "name:"), and around a line of few words. So wrapped prose is one block however it is
 broken, while each item of a list and each row of a table is a block of its own.
 """
 
@@ -34,17 +34,51 @@ _WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
 _INVISIBLE = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
 _MARKER = regex.compile(r"\s*(?:[-*•·–—◦▪‣●○■□§»]\s|\(?\p{L}{1,2}\)\s|\(?[ivxlc]{1,5}\)\s|\(?\d{1,4}[.)]\s|\[\d+\]\s|[QA]\.\s|\p{Lu}[\p{L} ]{0,24}:\s|\|)")
 _ITEM = regex.compile(r"\s*(?:[-*•·–—◦▪‣●○■□§»]\s|\(\p{L}{1,5}\)\s|\p{L}\)\s|\(?\d{1,4}[.)]\s)")
-_END = regex.compile(r"[.!?…。！？؟।][\"'”’»)\]」』\s]*$")
-_SOFT_END = regex.compile(r"[.!?…。！？؟।;:,；：，\"'”’»)\]」』]\s*$")
+_CLOSERS = "\"'”’»)]」』"
+_TERMINATORS = frozenset(".!?…。！？؟।")
+_SOFT = _TERMINATORS | frozenset(";:,；：，" + _CLOSERS)
 _CLEAN = regex.compile(r"[\"'“‘«(\[\p{Ps}\p{Pi}]*(?:\p{L}[\p{L}\p{M}]*(?:[-'’.&/]\p{L}[\p{L}\p{M}]*)*|[$€£¥]?\p{N}+(?:[.,:/-]\p{N}+)*(?:\(\p{N}+\))*%?)[.,;:!?\"'”’»)\]…\p{Pe}\p{Pf}]*|[–—;:!?«»&-]")
 _LEADER = regex.compile(r"(?:[.·_‥…]\s?){4,}")
 _COLUMNS = regex.compile(r"\S\t+\S|[^\s.!?;:,…。] {3,}\S|(?:\|[^|]*){2,}|(?:[^;\s][^;]*;){3,}[^;\s]*$")
 
 
+_PLAIN = ".,;:!?'\"()[]-“”‘’«»…。，；：！？、"
+
+
+class Judged(dict):
+    """Whether each token is a plain word or number with punctuation around, by token; forgets all when it grows too large."""
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = judged = _CLEAN.fullmatch(token) is not None
+        return judged
+
+
+_JUDGED = Judged()
+
+
+def _share_clean(tokens: list[str]) -> float:
+    return sum(map(_JUDGED.__getitem__, tokens)) / len(tokens)
+
+
+def _ends(text: str) -> bool:
+    """Whether the text ends as a sentence does, closing quotes and brackets aside."""
+    bare = text.rstrip()
+    while bare and bare[-1] in _CLOSERS:
+        bare = bare.rstrip(_CLOSERS).rstrip()
+    return bare[-1:] in _TERMINATORS and bare != ""
+
+
+def _solid(text: str) -> int:
+    """Characters that aren't white space."""
+    return sum(map(len, text.split()))
+
+
 def language(words: list[str], text: str) -> str:
     """By script first, then by the most frequent function words; "und" where none speak."""
     letters = sum(map(len, words)) or 1
-    for name, script in OTHER_SCRIPTS:
+    for name, script in OTHER_SCRIPTS if not text.isascii() else ():
         if len(regex.findall(script, text[:20_000])) > 0.3 * min(letters, 20_000):
             return name
     votes: dict[str, int] = {}
@@ -57,40 +91,54 @@ def language(words: list[str], text: str) -> str:
     return best if votes[best] >= 0.08 * len(words) else "und"
 
 
+_PAIR = regex.compile(r"\S\s+[–—=→:]\s+\S")
+
+
+def _anew(lines: list[str]) -> bool:
+    """Whether the lines after the first begin anew instead of reading on."""
+    starts = [m[0] for line in lines[1:] if (m := regex.search(r"\p{L}", line))]
+    return len(lines) > 2 and sum(c.islower() for c in starts) < 0.2 * len(starts) and any(c.islower() for c in "".join(lines))
+
+
 def blocks(text: str) -> list[str]:
     out: list[str] = []
     current: list[str] = []
+
+    def close() -> None:
+        if current:
+            out.extend(current if _anew(current) else ["\n".join(current)])
+            current.clear()
+
     for line in _LINES.split(text):
-        blank = not line.strip()
-        if current and (blank or _MARKER.match(line) or _COLUMNS.search(line.strip()) or _COLUMNS.search(current[-1].strip())):
-            out.append("\n".join(current))
-            current = []
-        if blank:
+        if not (bare := line.strip()):
+            close()
             continue
+        ended = _ends(line)
+        n = len(bare.split())
+        apart = not ended and (len(bare) < 25 and n < 4 or n <= 10 and _PAIR.search(bare)) or _COLUMNS.search(bare)
+        if apart or _MARKER.match(line):
+            close()
         current.append(line)
-        if _END.search(line):
-            out.append("\n".join(current))
-            current = []
-    if current:
-        out.append("\n".join(current))
+        if apart or ended:
+            close()
+    close()
     return out
 
 
 def is_written(block: str, lang: str) -> bool:
     """Whether a block reads as sentences."""
     words = [w.lower() for w in _WORD.findall(block)]
-    solid = sum(not c.isspace() for c in block)
+    tokens = block.split()
+    solid = sum(map(len, tokens))
     letters = sum(len(w) for w in words if not w[0].isnumeric())
     if _LEADER.search(block) or letters < 0.6 * solid:
         return False
     if lang in ("zh", "ja", "thai"):
-        return letters >= 6 and (_END.search(block) is not None or letters >= 40) and letters < 120 * (1 + len(regex.findall(r"[\p{P}]", block)))
-    ended, item = _END.search(block) is not None, _ITEM.match(block) is not None
+        return letters >= 6 and (_ends(block) or letters >= 40) and letters < 120 * (1 + len(regex.findall(r"[\p{P}]", block)))
+    ended, item = _ends(block), _ITEM.match(block) is not None
     if len(words) < 4 or (item and not ended):
         return False
-    tokens = block.split()
-    clean = sum(_CLEAN.fullmatch(t) is not None for t in tokens) / len(tokens)
-    if clean < 0.75 or len(tokens) < 4:
+    if len(tokens) < 4 or _share_clean(tokens) < 0.75:
         return False
     # a text may change its language, so a block speaks the language that it speaks most
     votes: dict[str, int] = {}
@@ -123,11 +171,11 @@ def statistics(text: str) -> tuple[str, list[float]] | None:
         return None
     words = [w.lower() for w in _WORD.findall(text)]
     lang = language(words, text)
-    sizes = [sum(not c.isspace() for c in b) for b in parts]
+    sizes = [_solid(b) for b in parts]
     total = sum(sizes)
     letters = sum(len(w) for w in words)
-    digits = sum(c.isnumeric() and not c.isalpha() for c in text)
-    plain = sum(c in ".,;:!?'\"()[]-“”‘’«»…。，；：！？、" for c in text)
+    digits = sum(len(w) for w in words if w[0].isnumeric() and not w[0].isalpha())
+    plain = sum(map(text.count, _PLAIN))
     tokens = text.split()
     known = SETS.get(lang)
     if lang in ("zh", "ja"):
@@ -135,13 +183,13 @@ def statistics(text: str) -> tuple[str, list[float]] | None:
         clean = 1.0
     else:
         common = sum(w in known if known else w in SPEAKING for w in words) / max(1, len(words))
-        clean = sum(_CLEAN.fullmatch(t) is not None for t in tokens) / len(tokens)
+        clean = _share_clean(tokens)
     return lang, [
         math.log1p(len(words)),
         min(40.0, letters / max(1, len(words))),
         max(0, total - letters - plain) / total,
         digits / total,
-        sum(s for b, s in zip(parts, sizes) if _SOFT_END.search(b)) / total,
+        sum(s for b, s in zip(parts, sizes) if b.rstrip()[-1:] in _SOFT) / total,
         common,
         clean,
         sum(s for b, s in zip(parts, sizes) if not is_written(b, lang)) / total,
