@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseloom.functions.text import stripped
+
 
 def trimmed(c: Column) -> Column:
     """Without leading and trailing white space of any kind (``trim`` knows only U+0020)."""
-    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    return stripped(c.cast("string"))
 
 
 def zero_filled(c: Column, width: int) -> Column:

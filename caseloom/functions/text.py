@@ -24,6 +24,8 @@ NEUTRAL_CITATIONS = (
     r"\((?:[^\n\)]*?;\s*)?(18\d{2}|19\d{2}|20\d{2}|2100)\s+[A-Z]{2,10}\s+\d+\)",
 )
 HEADER_LINES, FRONT_CHARS = 120, 12_000
+#: White space as Python knows it: Unicode's, and the four separators.
+SPACE = r"(?U)[\s\x1C-\x1F]"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -32,12 +34,12 @@ def or_empty(c: Column) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def flattened(c: Column) -> Column:
     """Runs of white space become one space; none at the ends. Null becomes empty."""
-    return stripped(F.regexp_replace(or_empty(c), r"(?U)\s+", " "))
+    return stripped(F.regexp_replace(or_empty(c), rf"{SPACE}+", " "))
 
 
 def placeholder_count(c: Column, token: str) -> Column:
@@ -122,7 +124,7 @@ def query_text(c: Column, threshold: int = 30_000, length: int = 10_000) -> Colu
 def truncated_query(c: Column, max_terms: int = 900, max_chars: int = 10_000) -> Column:
     """The first characters, then the first terms; terms are joined by one space only where some are dropped. 0: no limit."""
     text = F.substring(or_empty(c), 1, max_chars) if max_chars > 0 else or_empty(c)
-    terms = F.split(stripped(text), r"(?U)\s+")
+    terms = F.split(stripped(text), rf"{SPACE}+")
     return F.when(F.size(terms) > max_terms, F.array_join(F.slice(terms, 1, max_terms), " ")).otherwise(text) if max_terms > 0 else text
 
 

@@ -7,6 +7,7 @@ Scores compare in single precision, as they are stored.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -113,15 +114,17 @@ def gap_k(scores: Column, n: Column, size: Column, buffer: Column, low: Column,
     return F.when(n < 2, F.least(n, low)).otherwise(clamped).cast("int")
 
 
-def cutoff_k(setting: Setting, scores: Column | None = None, n: Column | None = None) -> Column:
-    """k of a ranking row under a setting."""
-    scores, n = scores if scores is not None else F.col("scores"), n if n is not None else F.col("n")
-    lit = F.lit
+def cutoff_k(setting: Setting | None = None) -> Column:
+    """k of a rankings row under a setting, or under the one in the row's own columns mode, k, p, l, h, gap_n and buffer."""
+    if setting is None:
+        ratio_, gap = ratio_k(F.col("scores"), F.col("n"), F.col("p"), F.col("l"), F.col("h")), gap_k(F.col("scores"), F.col("n"), F.col("gap_n"), F.col("buffer"), F.col("l"), F.col("h"))
+        return F.when(F.col("mode") == "fixed_topk", fixed_k(F.col("n"), F.col("k"))).when(F.col("mode") == "ratio_cutoff", ratio_).otherwise(gap)
+    scores, n = F.col("scores"), F.col("n")
     if setting.mode == "fixed_topk":
-        return fixed_k(n, lit(setting.k))
+        return fixed_k(n, F.lit(setting.k))
     if setting.mode == "ratio_cutoff":
-        return ratio_k(scores, n, lit(setting.p), lit(setting.l), lit(setting.h))
-    return gap_k(scores, n, lit(setting.n), lit(setting.buffer), lit(setting.l), lit(setting.h))
+        return ratio_k(scores, n, F.lit(setting.p), F.lit(setting.l), F.lit(setting.h))
+    return gap_k(scores, n, F.lit(setting.n), F.lit(setting.buffer), F.lit(setting.l), F.lit(setting.h))
 
 
 def depth_of(settings: list[Setting]) -> int:
@@ -147,23 +150,27 @@ def evaluate_settings(ranked: DataFrame, settings: list[Setting]) -> DataFrame:
 
     ``total`` counts the relevant rows of the ranking, so positives removed before it are no misses here.
     """
-    rows = [F.struct(F.lit(i).alias("id"), *[c.cast("double").alias(name) for name, c in query_scores(cutoff_k(s)).items()]) for i, s in enumerate(settings)]
-    each = ranked.select("query_id", F.explode(F.array(*rows)).alias("x")).select("query_id", "x.*")
-    summed = each.groupBy("id").agg(
-        F.sum("tp").cast("long").alias("tp"), F.sum("fp").cast("long").alias("fp"), F.sum("fn").cast("long").alias("fn"),
-        F.avg("p5").alias("p_at_5"), F.avg("r5").alias("r_at_5"), F.avg("ndcg").alias("ndcg_at_10"), F.avg("kept").alias("avg_retained"),
-        F.percentile("kept", 0.5).alias("median_retained"), F.min("kept").cast("long").alias("min_retained"), F.max("kept").cast("long").alias("max_retained"), F.count(F.lit(1)).alias("query_count"),
+    fields = "array<struct<id int, mode string, params string, k int, p double, l int, h int, gap_n int, buffer int>>"
+    names = ("id", "mode", "params", "k", "p", "l", "h", "gap_n", "buffer")
+    listed = json.dumps([dict(zip(names, (i, s.mode, s.params, s.k, s.p, s.l, s.h, s.n, s.buffer))) for i, s in enumerate(settings)])
+    # one expression for all settings: a literal grid meets each query's short arrays
+    grid = ranked.withColumn("_g", F.explode(F.from_json(F.lit(listed), fields))).select("query_id", "n", "total", "scores", "gains", "hits", "_g.*")
+    at_k = grid.withColumn("kept", cutoff_k())
+    keys = [c for c in names if c != "id"]
+    each = at_k.select(*keys, *[c.cast("double").alias(f"_{name}") for name, c in query_scores(F.col("kept")).items()])
+    summed = each.groupBy(*keys).agg(
+        F.sum("_tp").cast("long").alias("tp"), F.sum("_fp").cast("long").alias("fp"), F.sum("_fn").cast("long").alias("fn"),
+        F.avg("_p5").alias("p_at_5"), F.avg("_r5").alias("r_at_5"), F.avg("_ndcg").alias("ndcg_at_10"), F.avg("_kept").alias("avg_retained"),
+        F.percentile("_kept", 0.5).alias("median_retained"), F.min("_kept").cast("long").alias("min_retained"), F.max("_kept").cast("long").alias("max_retained"), F.count(F.lit(1)).alias("query_count"),
     )
-    names = "id int, mode string, params string, k int, p double, l int, h int, n int, buffer int"
-    listed = ranked.sparkSession.createDataFrame([(i, s.mode, s.params, s.k, s.p, s.l, s.h, s.n, s.buffer) for i, s in enumerate(settings)], names)
-    return listed.join(summed, "id").drop("id").withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    return summed.withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def best_settings(evaluated: DataFrame) -> DataFrame:
     """The best setting of each mode: f1, recall, precision, then the smaller parameters of the mode (fixed k; ratio h, l, p; gap h, buffer, N, l)."""
     tie = [F.when(F.col("mode") == "fixed_topk", F.col("k")).otherwise(F.col("h"))]
     tie += [F.when(F.col("mode") == "ratio_cutoff", F.col("l")).otherwise(F.col("buffer"))]
-    tie += [F.when(F.col("mode") == "ratio_cutoff", F.col("p")).otherwise(F.col("n").cast("double")), F.col("l")]
+    tie += [F.when(F.col("mode") == "ratio_cutoff", F.col("p")).otherwise(F.col("gap_n").cast("double")), F.col("l")]
     order = Window.partitionBy("mode").orderBy(F.desc("f1"), F.desc("recall"), F.desc("precision"), *tie, "avg_retained", F.desc("params"))
     return evaluated.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 

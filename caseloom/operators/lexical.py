@@ -28,14 +28,17 @@ class Index:
         return self.total_tokens / self.docs if self.docs else 0.0
 
 
+def _units(words: DataFrame, n: int) -> DataFrame:
+    """Adds _u, the words or runs of n words of _w. A row's words are made once, before the lambda that slices them."""
+    return words.withColumn("_u", ngrams(F.col("_w"), n) if n > 1 else F.col("_w"))
+
+
 def build_index(docs: DataFrame, doc_id: str, text: str, n: int = 1, stopwords: tuple[str, ...] = ()) -> Index:
     """Index over words, or over runs of n words. Every document counts, also those without any word; null texts are empty.
 
     Postings are written once and read by all scorers.
     """
-    words = tokens(F.col(text), stopwords)
-    units = ngrams(words, n) if n > 1 else words
-    listed = docs.select(F.col(doc_id).alias("doc_id"), units.alias("_u"))
+    listed = _units(docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text), stopwords).alias("_w")), n)
     counted = listed.select("doc_id", F.size("_u").alias("dl"), F.explode("_u").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     postings = written(counted, "postings")
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -44,9 +47,8 @@ def build_index(docs: DataFrame, doc_id: str, text: str, n: int = 1, stopwords:
 
 def query_terms(queries: DataFrame, query_id: str, text: str, n: int = 1, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, term, qtf)"""
-    words = tokens(F.col(text), stopwords)
-    listed = queries.select(F.col(query_id).alias("query_id"), F.explode(ngrams(words, n) if n > 1 else words).alias("term"))
-    return listed.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    listed = _units(queries.select(F.col(query_id).alias("query_id"), tokens(F.col(text), stopwords).alias("_w")), n)
+    return listed.select("query_id", F.explode("_u").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def bm25(index: Index, k1: float, b: float) -> Column:

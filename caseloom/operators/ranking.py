@@ -69,7 +69,9 @@ def positions_of(df: DataFrame, order: list[Column], name: str = "pos") -> DataF
     Rows are range-partitioned by the order, numbered inside their partitions, and shifted by the sizes of those before.
     """
     parted = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = parted.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_id", "_part", "_at", "_before")
+    numbered = parted.withColumn("_po_id", F.monotonically_increasing_id()).withColumn("_po_part", F.shiftright("_po_id", 33))
+    sizes = numbered.groupBy("_po_part").agg(F.count(F.lit(1)).alias("_po_n"))  # one row for each partition
+    earlier = Window.orderBy("_po_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_po_part", F.coalesce(F.sum("_po_n").over(earlier), F.lit(0)).alias("_po_before"))
+    placed = numbered.join(F.broadcast(before), "_po_part")
+    return placed.withColumn(name, F.col("_po_before") + F.col("_po_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_po_id", "_po_part", "_po_n", "_po_before")
