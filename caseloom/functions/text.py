@@ -144,10 +144,12 @@ def tokens(c: Column, stopwords: tuple[str, ...] = ()) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Runs of n words, joined by a space."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Runs of n words, joined by a space. Shifted slices are zipped: a lambda over positions would make the words anew for each."""
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    out = F.slice(words, F.lit(1), count)
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(i + 1), count), lambda a, b: F.concat_ws(" ", a, b))
+    return out
 
 
 def entailment_text(c: Column, markers: tuple[str, ...] = PLACEHOLDERS) -> Column:
