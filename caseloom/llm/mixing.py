@@ -28,15 +28,16 @@ def normal_source(name: str) -> Column:
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int = FIT) -> np.ndarray:
     """How many documents of each length to take: the sum is at most the budget and as near to it as found.
 
-    Lengths get floor(count * budget / total) each; longest first, one more while more than ``limit`` is left over; the
-    rest is solved exactly among documents not yet taken.
+    All but an eighth of ``limit`` is filled in proportion, floor(count * part / total) of each length; longest first, more
+    are taken while more than ``limit`` is left over; the rest is solved exactly among documents not yet taken.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     # exact integers: products may pass 2^63
-    taken = np.array([int(c) * budget // total for c in counts], np.int64)
+    part = max(0, budget - limit // 8)
+    taken = np.array([int(c) * part // total for c in counts], np.int64)
     left = budget - int((lengths * taken).sum())
     for i in np.argsort(-lengths, kind="stable"):
         if left <= limit:
