@@ -91,16 +91,16 @@ def current_rows(df: DataFrame, key: str, order: str, payload: list[str]) -> Dat
     the payload counts (equal rows are one). Only keys with several rows are shuffled: their latest ``order`` comes
     from the two narrow columns and is broadcast under the session's limit, or joined by shuffle beyond it.
     """
+    df = df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order, *payload]))  # other columns can't clash
     many = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("_key"))
+        df.groupBy(F.col(key).alias("_key"))
         .agg(F.count(F.lit(1)).alias("_n"), F.max(order).alias("_latest"))
         .where("_n > 1")
         .select("_key", "_latest")
     )
     many = written(many, "many-rows")
     side = small(many, many.count(), 100)
-    joined = df.where(F.col(key).isNotNull()).join(side, F.col(key) == F.col("_key"), "left")
+    joined = df.join(side, F.col(key) == F.col("_key"), "left")
     single = joined.where(F.col("_key").isNull()).select(key, *payload)
     narrow = joined.where(F.col("_key").isNotNull() & F.col(order).eqNullSafe(F.col("_latest"))).select(key, *payload)
     packed = F.struct(F.xxhash64(*payload).alias("_h"), *[F.col(c) for c in payload])
