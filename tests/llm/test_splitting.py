@@ -89,5 +89,5 @@ def test_operator(spark, rows):
 
 
 def test_very_long_text_without_space():
-    assert len(split_front("x" * 1_000_000, 3000, 1500, 300)) == 370
+    assert len(split_front("x" * 1_000_000, 3000, 1500, 300)) == 371
     assert split_front(" " * 10_000, 3000, 1500, 300)[0] == (0, 3000)
