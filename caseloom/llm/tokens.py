@@ -60,6 +60,8 @@ class PairIndex:
         for word in words:
             at = len(symbol)
             starts.append(at)
+            if not word:
+                continue
             ids = [single[b] for b in word]
             symbol += ids
             after += range(at + 1, at + len(ids))
@@ -68,8 +70,9 @@ class PairIndex:
                 if (rank := merged(ids[i], ids[i + 1])) >= 0:
                     places.setdefault(rank, []).append(at + i)
         before = list(range(-1, len(symbol) - 1))
-        for at in starts:
-            before[at] = -1
+        for at, word in zip(starts, words):
+            if word:
+                before[at] = -1
         active = list(places)
         heapq.heapify(active)
 
