@@ -58,7 +58,7 @@ def learn_to_rank(train: DataFrame, valid: DataFrame, test: DataFrame, features:
     ranker = models.Ranker(features, kind).fit(train)
     out = {}
     for name, frame in (("train", train), ("valid", valid), ("test", test)):
-        scored = ranker.predict(frame).withColumnRenamed("pred_score", "rank_score")
+        scored = ranker.predict(frame).drop("rank_score").withColumnRenamed("pred_score", "rank_score")
         kept = ranking.without_self(scored if scope_ is None else scope.filter_by_scope(scored, scope_, scope.Missing.KEEP))
         out[name] = ranking.rank_by_candidate(kept.drop("pred_rank"), "rank_score", "rank_position")
     relevant = valid.where("label > 0").select("query_id", "candidate_id")
