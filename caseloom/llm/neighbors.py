@@ -13,11 +13,11 @@ rises on the way down, the PROBES leaves of highest priority are what popping a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.plans.tables import spread, written
@@ -97,13 +97,15 @@ class Forest:
 
 
 def most_similar(
-    df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1.0, trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 11
-) -> DataFrame:
+    df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1.0, trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 11,
+    only: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """(key, neighbor, similarity, rank): for each key up to k other keys of the highest cosine that is at least ``least``.
 
     Null vectors, those with a null, NaN or infinite element, all-zero ones, those of another width than most, and null
     keys take no part. Of several rows of a key the one with the smallest hash counts (equal rows are one). Ties go to the
     smaller key. Equal vectors are searched for once: of a group of copies the k + 1 smallest keys stand for all.
+    ``only`` says by key which rows are queries (all are without it); every row is indexed and found in either case.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<float>").alias("v"))
     rows = rows.groupBy("k").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
@@ -122,6 +124,8 @@ def most_similar(
     several = written(classes.where("m > 1").select("c", "rep"), "copies")
     members = written(keyed.join(several, "c").select("rep", "k"), "members")
     singles = units.join(members.where("rep != k").select("k"), "k", "left_anti")
+    searched = F.lit(True) if only is None else F.coalesce(only(F.col("k")), F.lit(False)) | F.col("_rep").isNotNull()
+    singles = singles.join(members.select(F.col("rep").alias("_rep")).distinct(), F.col("k") == F.col("_rep"), "left").select("k", "x", searched.alias("q"))
     singles = written(singles, "distinct")
     n = singles.count()
     fit = singles.orderBy(F.xxhash64(F.lit(seed), "k"), "k").limit(sample).select("x").collect() if n else []
@@ -131,13 +135,15 @@ def most_similar(
         depth = max(0, min(math.ceil(math.log2(max(1.0, n / leaf))), int(math.log2(max(1.0, len(fit) / 8)))))
         # at most trees * sample / 8 planes, whatever the number of vectors
         forest = df.sparkSession.sparkContext.broadcast(Forest(x, trees, depth, seed))
-        routed = spread(singles).mapInArrow(_route(forest, width, probes), "leaf int, own boolean, k string, x binary")
-        near = routed.groupBy("leaf").applyInArrow(_compare(width, k, least), names).distinct()
+        routed = spread(singles).mapInArrow(_route(forest, width, probes), "leaf int, own boolean, q boolean, k string, x binary")
+        near = routed.groupBy("leaf").applyInArrow(_compare(width, k, least), "k string, near array<struct<d: double, n: string>>")
+        # a query has at most k neighbours from each of its leaves: PROBES short arrays, ordered by falling similarity and key
+        ranked = near.groupBy("k").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+        near = ranked.select("k", F.explode("near").alias("x")).select("k", F.col("x.n").alias("neighbor"), (-F.col("x.d")).alias("similarity"))
     else:
         near = df.sparkSession.createDataFrame([], names)
-    best = Window.partitionBy("k").orderBy(F.desc("similarity"), "neighbor")
-    near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     out = _with_copies(written(near, "near"), members, k, least)
+    out = out if only is None else out.where(only(F.col("k")))
     return out.select(F.col("k").alias(key), "neighbor", "similarity", F.col("r").alias("rank"))
 
 
@@ -162,11 +168,13 @@ def _route(forest, width: int, probes: int):
                 batch = whole.slice(at, 256)
                 x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width)
                 home, away = f.leaves(x, probes)
-                row = np.repeat(np.arange(len(x)), home.shape[1]), np.repeat(np.arange(len(x)), away.shape[1])
+                query = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                away = away[query]
+                row = np.repeat(np.arange(len(x)), home.shape[1]), np.repeat(np.flatnonzero(query), away.shape[1])
                 leaf = np.concatenate([home.ravel(), away.ravel()]).astype(np.int32)
                 own = np.r_[np.ones(home.size, bool), np.zeros(away.size, bool)]
                 take = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(own), batch.column(0).take(take), batch.column(1).take(take)], ["leaf", "own", "k", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(own), *(batch.column(c).take(take) for c in (2, 0, 1))], ["leaf", "own", "q", "k", "x"])
 
     return route
 
@@ -177,9 +185,10 @@ def _compare(width: int, k: int, least: float):
         names = rows.column("k").combine_chunks()
         x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, width)
         member = np.flatnonzero(rows.column("own").to_numpy())
+        asked = np.flatnonzero(rows.column("q").to_numpy())
         of, to, cos = [], [], []
-        for a in range(0, len(x), _TILE):
-            query = np.arange(a, min(a + _TILE, len(x)))
+        for a in range(0, len(asked), _TILE):
+            query = asked[a : a + _TILE]
             best_to, best = np.zeros((len(query), 0), np.int64), np.zeros((len(query), 0), np.float32)
             for b in range(0, len(member), _TILE):
                 own = member[b : b + _TILE]
@@ -198,7 +207,16 @@ def _compare(width: int, k: int, least: float):
         for a in range(0, len(i), 1 << 16):
             cos.append(np.einsum("ij,ij->i", x[i[a : a + (1 << 16)]].astype(np.float64), x[j[a : a + (1 << 16)]].astype(np.float64)))
         c = np.round(np.concatenate(cos), 9) if cos else np.zeros(0)
-        good = c >= least
-        return pa.table({"k": names.take(pa.array(i[good])), "neighbor": names.take(pa.array(j[good])), "similarity": c[good]})
+        _, code = np.unique(np.array(names.to_pylist(), object), return_inverse=True)
+        order = np.lexsort((code[j], -c, i))
+        i, j, c = i[order], j[order], c[order]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+        place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+        kept = (place < k) & (c >= least)
+        i, j, c = i[kept], j[kept], c[kept]
+        head = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+        items = pa.StructArray.from_arrays([pa.array(-c), names.take(pa.array(j))], ["d", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(i)].astype(np.int32)), items)
+        return pa.table({"k": names.take(pa.array(i[head])), "near": lists})
 
     return compare
