@@ -31,7 +31,7 @@ def year_difference(query_year: Column, doc_year: Column) -> Column:
 
 
 def per_word(count: Column, length: Column) -> Column:
-    return count.cast("float") / F.greatest(length, F.lit(1)).cast("float")
+    return (count.cast("float") / F.greatest(length, F.lit(1)).cast("float")).cast("float")
 
 
 def feature_frame(pairs: DataFrame, features: DataFrame, scores: tuple[str, ...] = ("bm25_score", "qld_score", "bm25_ngram_score", "dense_score")) -> DataFrame:
@@ -51,7 +51,7 @@ def feature_frame(pairs: DataFrame, features: DataFrame, scores: tuple[str, ...]
     ratios = {f"{s}_{c.replace('_num', '_ratio')}": per_word(F.col(f"{s}_{c}"), length[s]) for s in length for c in COUNTS}
     out = out.withColumns(
         {
-            "len_ratio": length["query"].cast("float") / F.greatest(length["doc"], F.lit(1)).cast("float"),
+            "len_ratio": per_word(length["query"], length["doc"]),
             "len_diff": F.abs(length["query"] - length["doc"]),
             "year_diff": year_difference(F.col("query_year"), F.col("doc_year")),
             **ratios,

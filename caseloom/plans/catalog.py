@@ -551,8 +551,8 @@ def summary_extract(spark: SparkSession, d: str) -> DataFrame:
     j AS (SELECT p.query_id, p.candidate_id, coalesce(CASE WHEN isnan(p.dense_score) THEN 0 ELSE p.dense_score END, 0)::FLOAT AS dense_score, coalesce(p.bm25_score, 0)::FLOAT AS bm25_score,
     coalesce(a.length, 0) AS ql, coalesce(b.length, 0) AS dl, coalesce(a.c, 0) AS qc, coalesce(b.c, 0) AS dc, coalesce(a.g, 0) AS qg, coalesce(b.r, 0) AS dr, coalesce(a.year, -1) AS qy, coalesce(b.year, -1) AS dy
     FROM pred p LEFT JOIN f a ON a.case_id = p.query_id LEFT JOIN f b ON b.case_id = p.candidate_id)
-    SELECT query_id, candidate_id, bm25_score, dense_score, ql::INT AS query_length, dl::INT AS doc_length, round((ql::FLOAT / greatest(dl, 1)::FLOAT)::DOUBLE, 4) AS len_ratio, abs(ql - dl)::INT AS len_diff, qc AS query_citation_num, qg AS query_fragment_num, dr AS doc_reference_num,
-    round((dc::FLOAT / greatest(dl, 1)::FLOAT)::DOUBLE, 4) AS doc_citation_ratio, qy AS query_year, dy AS doc_year, CASE WHEN qy = -1 OR dy = -1 THEN 0 ELSE qy - dy END AS year_diff,
+    SELECT query_id, candidate_id, bm25_score, dense_score, ql::INT AS query_length, dl::INT AS doc_length, ql::FLOAT / greatest(dl, 1)::FLOAT AS len_ratio, abs(ql - dl)::INT AS len_diff, qc AS query_citation_num, qg AS query_fragment_num, dr AS doc_reference_num,
+    dc::FLOAT / greatest(dl, 1)::FLOAT AS doc_citation_ratio, qy AS query_year, dy AS doc_year, CASE WHEN qy = -1 OR dy = -1 THEN 0 ELSE qy - dy END AS year_diff,
     row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, candidate_id)::INT AS bm25_rank, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, candidate_id)::INT AS dense_rank FROM j""",
     "cases", "pred",
 )
@@ -561,9 +561,8 @@ def ltr_features(spark: SparkSession, d: str) -> DataFrame:
     attributes = c.select("case_id", "year", *features.COUNTS, lexical.analyzed_length(F.col("clean_text")).alias("length"))
     pairs = predictions(spark, d).select("query_id", "candidate_id", "bm25_score", "qld_score", "bm25_ngram_score", "dense_score")
     out = features.feature_frame(pairs, attributes)
-    rounded = [F.round(F.col(c).cast("double"), 4).alias(c) for c in ("len_ratio", "doc_citation_ratio")]
-    kept = ["query_id", "candidate_id", "bm25_score", "dense_score", "query_length", "doc_length", "len_diff", "query_citation_num", "query_fragment_num", "doc_reference_num", "query_year", "doc_year", "year_diff", "bm25_rank", "dense_rank"]
-    return out.select(*kept, *rounded)
+    kept = ["query_id", "candidate_id", "bm25_score", "dense_score", "query_length", "doc_length", "len_diff", "query_citation_num", "query_fragment_num", "doc_reference_num", "query_year", "doc_year", "year_diff", "bm25_rank", "dense_rank", "len_ratio", "doc_citation_ratio"]
+    return out.select(*kept)
 
 
 @query("SELECT p.query_id, p.candidate_id, (q.query_id IS NOT NULL)::TINYINT AS label FROM pred p LEFT JOIN qrels q USING (query_id, candidate_id)", "pred", "qrels")
