@@ -39,19 +39,24 @@ _TERMINATORS = frozenset(".!?…。！？؟।")
 _SOFT = _TERMINATORS | frozenset(";:,；：，" + _CLOSERS)
 _CLEAN = regex.compile(r"[\"'“‘«(\[\p{Ps}\p{Pi}]*(?:\p{L}[\p{L}\p{M}]*(?:[-'’.&/]\p{L}[\p{L}\p{M}]*)*|[$€£¥]?\p{N}+(?:[.,:/-]\p{N}+)*(?:\(\p{N}+\))*%?)[.,;:!?\"'”’»)\]…\p{Pe}\p{Pf}]*|[–—;:!?«»&-]")
 _LEADER = regex.compile(r"(?:[.·_‥…]\s?){4,}")
-_COLUMNS = regex.compile(r"\S\t+\S|[^\s.!?;:,…。] {3,}\S|(?:\|[^|]*){2,}|(?:[^;\s][^;]*;){3,}[^;\s]*$")
+_TAB, _GAP = regex.compile(r"\S\t+\S"), regex.compile(r"[^\s.!?;:,…。] {3,}\S")
+_FOREIGN = regex.compile(r"[^\u0000-\u036f\u1e00-\u1eff\u2000-\u2bff\ufb00-\ufb06\ufeff\ufffd]")
 
 
 _PLAIN = ".,;:!?'\"()[]-“”‘’«»…。，；：！？、"
 
 
+#: No plain word is longer.
+_LONGEST = 100
+
+
 class Judged(dict):
     """Whether each token is a plain word or number with punctuation around, by token; forgets all when it grows too large."""
 
     def __missing__(self, token: str) -> bool:
         if len(self) > 500_000:
             self.clear()
-        self[token] = judged = _CLEAN.fullmatch(token) is not None
+        self[token] = judged = len(token) <= _LONGEST and _CLEAN.fullmatch(token) is not None
         return judged
 
 
@@ -75,11 +80,22 @@ def _solid(text: str) -> int:
     return sum(map(len, text.split()))
 
 
+def _columned(line: str) -> bool:
+    """Whether a line has columns: tabs, wide gaps, bars, or three fields and more before its last semicolon."""
+    if "\t" in line and _TAB.search(line) or "   " in line and _GAP.search(line) or line.count("|") > 1:
+        return True
+    if line.count(";") < 3:
+        return False
+    *fields, last = line.rsplit(";", 4)
+    return not any(map(str.isspace, last)) and len(fields) > 2 and all(f and not f[0].isspace() for f in fields[-3:])
+
+
 def language(words: list[str], text: str) -> str:
     """By script first, then by the most frequent function words; "und" where none speak."""
     letters = sum(map(len, words)) or 1
-    for name, script in OTHER_SCRIPTS if not text.isascii() else ():
-        if len(regex.findall(script, text[:20_000])) > 0.3 * min(letters, 20_000):
+    foreign = "" if text.isascii() else "".join(_FOREIGN.findall(text))
+    for name, script in OTHER_SCRIPTS if len(foreign) > 0.3 * letters else ():
+        if len(regex.findall(script, foreign)) > 0.3 * letters:
             return name
     votes: dict[str, int] = {}
     for w in words:
@@ -115,7 +131,7 @@ def blocks(text: str) -> list[str]:
             continue
         ended = _ends(line)
         n = len(bare.split())
-        apart = not ended and (len(bare) < 25 and n < 4 or n <= 10 and _PAIR.search(bare)) or _COLUMNS.search(bare)
+        apart = not ended and (len(bare) < 25 and n < 4 or n <= 10 and _PAIR.search(bare)) or _columned(bare)
         if apart or _MARKER.match(line):
             close()
         current.append(line)
@@ -127,7 +143,7 @@ def blocks(text: str) -> list[str]:
 
 def is_written(block: str, lang: str) -> bool:
     """Whether a block reads as sentences."""
-    words = [w.lower() for w in _WORD.findall(block)]
+    words = _WORD.findall(block.lower())
     tokens = block.split()
     solid = sum(map(len, tokens))
     letters = sum(len(w) for w in words if not w[0].isnumeric())
@@ -148,7 +164,7 @@ def is_written(block: str, lang: str) -> bool:
     speaking = max(votes.values(), default=0) / len(words)
     if not ended:
         # a sentence may be cut off or run on, but then it must be a long one that speaks
-        return speaking >= 0.2 and len(words) >= 8 and _COLUMNS.search(block) is None and sum(w[0].isnumeric() for w in words) < 0.2 * len(words)
+        return speaking >= 0.2 and len(words) >= 8 and not any(map(_columned, map(str.strip, block.split("\n")))) and sum(w[0].isnumeric() for w in words) < 0.2 * len(words)
     if speaking >= 0.16:
         return len(words) >= 5 or speaking >= 0.3
     # a language without a word list: sentences run on in small letters, if the script has them
@@ -169,7 +185,7 @@ def statistics(text: str) -> tuple[str, list[float]] | None:
     parts = blocks(text)
     if not parts:
         return None
-    words = [w.lower() for w in _WORD.findall(text)]
+    words = _WORD.findall(text.lower())
     lang = language(words, text)
     sizes = [_solid(b) for b in parts]
     total = sum(sizes)
