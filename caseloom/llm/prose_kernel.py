@@ -15,7 +15,7 @@ STATISTICS = ("log_words", "word_length", "symbols", "digits", "ending", "common
 
 # Frequent function words, by language.
 COMMON = {
-    "en": "the of and to a in that is was for it with as his on be at by i this had not are but from or have an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state those people too how little good world make very year still own see work men day get here between both being under never same another know while last might us great old since go came right used take three himself few house use during without again place around however small found mrs part though each every upon shall thereof herein",
+    "en": "the of and to a in that is was for it with as his on be at by i this had not are but from or have an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other any like my now over such our most made after also before must through where your because each those between both being under never same another while without around however though every upon shall thereof herein again during until against within among whether may might could should these some then do did does how here am us me",
     "fr": "le la les de des du d l un une et à au aux en dans que qui ne pas n s se sa son ses ce cet cette ces est sont a ont été être par pour sur avec sous sans il elle ils on nous vous leur leurs y ou où mais donc car si plus même après avant selon contre entre lors afin dont comme tout tous toute malgré cours égard défaut",
     "de": "der die das den dem des ein eine einer einem einen und in im zu von mit auf für ist nicht auch es an als nach wie sich aus bei oder werden wird wurde hat haben dass daß durch über nur noch vor war sind einem zum zur um so gegen",
     "es": "el la los las de del un una unos unas y a al en que no se por con para su sus es lo como más pero o este esta ha fue son entre sin sobre cuando también desde todo ser le ya si",
@@ -25,7 +25,7 @@ COMMON = {
 }
 SPEAKING = {w: {lang for lang, ws in COMMON.items() if w in ws.split()} for ws in COMMON.values() for w in ws.split()}
 SETS = {lang: frozenset(ws.split()) for lang, ws in COMMON.items()}
-HAN = "的一是在不了有和人这中大为上个国我以要他时来用们到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经之进着等部度家力里如水化高自二理起小物现实加量都两体制机当使点从业本去把性好应开它合还因由其些然前外天政四日那社义事平形相全表间样与关各重新线内数正心反你明看原又么利比或但质气第向道命此变条只没结解问意建月公无系军很情者最立代想已通并提直题党程展五果料象员革位入常文总次品式活设及管特件长求老头基资边流路级少图山统接知较将组见计别她手角期根论运农指几九区强放决西被干做必战先回则任取据处府"
+HAN = "的一是在不了有和人这中大为上个国我以要他时来用们到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经之进着等部度家力里如水化高自二理起小物现实加量都两体制机当使点从业本去把性好应开它合还因由其些然前外天政四日那社义事平形相全表间样与关各重新线内数正心反你明看原又么利比或但质气第向道命此变条只没结解问意建月公无系军很情者最立代想已通并提直题党程展五果料象员"
 _HAN = frozenset(HAN)
 OTHER_SCRIPTS = (("zh", r"\p{Han}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("ko", r"\p{Hangul}"), ("cyrl", r"\p{Cyrillic}"), ("arab", r"\p{Arabic}"), ("grek", r"\p{Greek}"), ("hebr", r"\p{Hebrew}"), ("deva", r"\p{Devanagari}"), ("thai", r"\p{Thai}"))
 
