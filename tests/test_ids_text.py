@@ -76,7 +76,7 @@ def test_cleaner():
 
 def test_language_state():
     lines = {"f": "fr", "e": "en", "x": "de", "u": None}
-    assert C._english_lines("f\nx\ne\nx\nu", lines.get).split("\n") == ["", "e", "x", "u"] or C._english_lines("f\nx\ne\nx\nu", lines.get) == "\n\ne\nx\nu"
+    assert C._english_lines("f\nx\ne\nx\nu", lines.get) == "\n\ne\nx\nu"
 
 
 def test_context_and_chunks():
@@ -85,9 +85,9 @@ def test_context_and_chunks():
     assert "".join(C.sentences(t)) == t
     out = C.reference_context(t, "Lead one. Lead two.", least=512)
     assert out.startswith("Lead one. Lead two.")
-    assert C.reference_context(t, "Lead one. Lead two.", least=512, compat=True).startswith("Lead one. One") or True
+    assert C.reference_context(t, "Lead one. Lead two.", least=512, compat=True).startswith("Lead one. One")
     assert C.token_chunks("Aa bb. Cc dd ee ff gg hh. Ii", 4, 2) == ["Aa bb.", "Cc dd ee ff"]
-    assert C.token_chunks(None, 4) == [""] and C.token_chunks("Mr. Smith v. Jones went", 4, 1) == ["Mr. Smith"] or True
+    assert C.token_chunks(None, 4) == [""] and C.token_chunks("Mr. Smith v. Jones went", 4, 1) == ["Mr. Smith v"]
     assert not C.is_sentence_end("by J. Smith", 5, 6) and C.is_sentence_end("end. Next", 4, 5) and not C.is_sentence_end("the U.S. court", 8, 9)
 
 
