@@ -621,12 +621,28 @@ FROM qrels q JOIN (SELECT query_id, candidate_id, dense_score::DOUBLE AS s FROM
 GROUP BY 1, 2 HAVING count(*) >= 15"""
 
 
+def _adaptive(spark: SparkSession, d: str) -> DataFrame:
+    scored = predictions(spark, d).where(~F.isnan("dense_score")).select("query_id", "candidate_id", F.col("dense_score").cast("double").alias("score"))
+    return sampling.adaptive_negatives(scored, qrels(spark, d))
+
+
 @query(_GUMBEL, "pred", "qrels")
 def adaptive_neg(spark: SparkSession, d: str) -> DataFrame:
-    """Of queries with at least 15 candidates; those with fewer draw with replacement, which the tests cover."""
-    scored = predictions(spark, d).where(~F.isnan("dense_score")).select("query_id", "candidate_id", F.col("dense_score").cast("double").alias("score"))
-    drawn = sampling.adaptive_negatives(scored, qrels(spark, d))
-    return drawn.where(F.size(F.array_distinct("negative_ids")) == 15)
+    """Of queries with at least 15 candidates, as its SQL says; ``adaptive_neg_all`` has those with fewer too."""
+    return _adaptive(spark, d).where(F.size(F.array_distinct("negative_ids")) == 15)
+
+
+@query(
+    f"""SELECT query_id, positive_id, CASE WHEN len(l) >= 15 THEN l[1:15] ELSE list_transform(range(1, 16), lambda i: l[len(list_filter(c, lambda x: x < ({_DRAW.format("'42:0'")} + 0.5) / 4503599627370496 * c[-1])) + 1]) END AS negative_ids
+    FROM (SELECT query_id, positive_id, l, list_transform(range(1, len(w) + 1), lambda i: list_sum(w[1:i])) AS c FROM (SELECT query_id, positive_id, l, list_transform(s, lambda x: exp(x - list_max(s))) AS w
+    FROM (SELECT query_id, positive_id, list(candidate_id ORDER BY g DESC, candidate_id) AS l, list(s ORDER BY g DESC, candidate_id) AS s FROM (SELECT q.query_id, q.candidate_id AS positive_id, n.candidate_id, n.s,
+    round(n.s - ln(-ln((('0x' || substr(md5(concat_ws('|', '{42 * 1_000_003}', q.query_id, q.candidate_id, n.candidate_id)), 1, 13))::BIGINT + 0.5) / 4503599627370496)), 9) AS g
+    FROM qrels q JOIN (SELECT query_id, candidate_id, dense_score::DOUBLE AS s FROM pred ANTI JOIN qrels USING (query_id, candidate_id) WHERE dense_score IS NOT NULL AND NOT isnan(dense_score) AND query_id <> candidate_id) n USING (query_id)) GROUP BY 1, 2)))""",
+    "pred", "qrels",
+)
+def adaptive_neg_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of every query with a candidate; those with fewer than 15 draw with replacement."""
+    return _adaptive(spark, d)
 
 
 _BODY = 126

@@ -39,6 +39,16 @@ def test_query_equals_its_sql(spark, engine, name):
     assert got == want
 
 
+def test_adaptive_negatives_of_small_pools_are_kept(spark, engine):
+    """Every labelled pair of a query with a candidate left, also where fewer than 15 are drawn from with replacement."""
+    got = catalog.QUERIES["adaptive_neg_all"](spark, DIR).collect()
+    few = [r for r in got if len(set(r.negative_ids)) < 15]
+    pool = "SELECT query_id FROM pred ANTI JOIN qrels USING (query_id, candidate_id) WHERE NOT isnan(dense_score) AND query_id <> candidate_id"
+    want = engine.execute(catalog.sql(f"SELECT query_id, candidate_id FROM qrels WHERE query_id IN ({pool})", "pred", "qrels")).fetchall()
+    assert few and all(len(r.negative_ids) == 15 for r in got)
+    assert sorted((r.query_id, r.positive_id) for r in got) == sorted(want)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
