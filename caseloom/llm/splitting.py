@@ -7,16 +7,17 @@ that may follow are those ending at a position e with ``min_len < e - s <= max_l
 * ``front``: cost lists compare piece by piece from the front. Edges from one start never tie (their lengths differ),
   so the value function V(s) = min over e of ((tier, slack), V(e - overlap)) expands one edge for each start, and the
   program runs in linear time. Its optimum is "the last boundary, else the last word gap, else the full length".
-* ``balanced``: penalties and squared imbalance are summed over all pieces; every start that can be reached is expanded.
+* ``balanced``: penalties and squared imbalance are summed over all pieces; every start that can be reached is expanded,
+  with every boundary in reach, else every word gap, else every position.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,35 +72,44 @@ def split_front(text: str, max_len: int, min_len: int, overlap: int) -> list[tup
 
 
 def split_balanced(text: str, max_len: int, min_len: int, overlap: int) -> list[tuple[int, int]]:
-    """The cut list with the least sum of penalties and squared imbalance; word gaps are cuts only where no boundary is in reach."""
+    """The cut list with the least sum of penalties and squared imbalance; word gaps are cuts only where no boundary is in
+    reach, positions inside a word only where no word gap is. All cuts in reach of the best such kind are edges."""
     n = len(text)
     if n <= max_len:
         return [(0, n)]
     runs = cuts_between(text, 0, n)
     bounds = [b for a, b in runs if is_boundary(text, a, b)]
     gaps = [b for _, b in runs]
-    best: dict[int, tuple[float, int]] = {0: (0.0, -1)}
-    queue, final = [0], (float("inf"), 0)
-    while queue:
-        start = heapq.heappop(queue)  # all ways to a start come from smaller starts
-        cost = best[start][0]
+    kinds = [(at, np.array(at, np.int64)) for at in (bounds, gaps)]
+    imbalance = ((max_len - np.arange(max_len + 1)) / max_len) ** 2  # by length
+    best, before = np.full(n, np.inf), np.full(n, -1)
+    reached = bytearray(n)
+    flags = np.frombuffer(reached, np.uint8)
+    best[0], start, final = 0.0, 0, (float("inf"), 0)
+    while start >= 0:  # all ways to a start come from smaller starts
+        cost = best[start]
         if n - start <= max_len:
-            final = min(final, (cost + ((max_len - n + start) / max_len) ** 2, start))
-            continue
-        low, high = start + min_len, start + max_len
-        for tier, at in enumerate((bounds, gaps)):
-            if ends := at[bisect_right(at, low) : bisect_right(at, high)]:
-                break
+            final = min(final, (cost + imbalance[n - start], start))
         else:
-            tier, ends = 2, [high]
-        for end in ends if tier == 0 else ends[-1:]:
-            new = cost + PENALTIES[tier] + ((max_len - end + start) / max_len) ** 2
-            if (old := best.get(end - overlap)) is None:
-                heapq.heappush(queue, end - overlap)
-            if old is None or new < old[0]:
-                best[end - overlap] = (new, start)
+            low, high = start + min_len, start + max_len
+            for tier, (at, ends) in enumerate(kinds):
+                i, j = bisect_right(at, low), bisect_right(at, high)
+                if i < j:
+                    ends = ends[i:j]
+                    new, to = cost + PENALTIES[tier] + imbalance[ends - start], ends - overlap
+                    less = new < best[to]
+                    best[to[less]], before[to[less]], flags[to] = new[less], start, 1
+                    break
+            else:
+                to = slice(low + 1 - overlap, high + 1 - overlap)
+                new = cost + PENALTIES[2] + imbalance[min_len + 1 :]
+                less = new < best[to]
+                np.copyto(best[to], new, where=less)
+                np.copyto(before[to], start, where=less)
+                flags[to] = 1
+        start = reached.find(1, start + 1)
     starts = [final[1]]
-    while (start := best[starts[-1]][1]) >= 0:
+    while (start := int(before[starts[-1]])) >= 0:
         starts.append(start)
     starts.reverse()
     return [(a, b + overlap) for a, b in zip(starts, starts[1:])] + [(starts[-1], n)]

@@ -66,6 +66,28 @@ def test_balanced_is_optimal():
     assert cost(split_balanced(text, 20, 8, 3)) == pytest.approx(min(map(cost, every(0))))
 
 
+@pytest.mark.parametrize("text", ["aaa bb cccc d eee ff ggggg hh i jjj kk llll m", "x" * 43, "aa. bbbbbbbbbbbbbbbbbbbbbbbbbbbbb cc dd eeee ff g. hh", "aaaa bbb cc " + "y" * 31])
+def test_balanced_is_optimal_without_boundaries(text):
+    """Against all cut lists that take boundaries, else word gaps, else any position."""
+    max_len, min_len, overlap, n = 14, 5, 2, len(text)
+    runs = [m.span() for m in re.finditer(" +", text)]
+    kinds = [[b for a, b in runs if is_boundary(text, a, b)], [b for _, b in runs], range(n)]
+
+    def every(start):
+        if n - start <= max_len:
+            yield ((max_len - n + start) / max_len) ** 2, [(start, n)]
+            return
+        found = [[e for e in at if start + min_len < e <= start + max_len] for at in kinds]
+        tier = next(i for i, ends in enumerate(found) if ends)
+        for e in found[tier]:
+            for cost, rest in every(e - overlap):
+                yield (0, 4, 16)[tier] + ((max_len - e + start) / max_len) ** 2 + cost, [(start, e), *rest]
+
+    lists = list(every(0))
+    cost = {tuple(pieces): c for c, pieces in lists}
+    assert cost[tuple(split_balanced(text, max_len, min_len, overlap))] == pytest.approx(min(c for c, _ in lists))
+
+
 def test_boundaries():
     def at(text):
         a = text.index("|")
