@@ -731,7 +731,20 @@ def group_sizes(spark: SparkSession, d: str) -> DataFrame:
     (SELECT DISTINCT l_orderkey % 1000 AS c, l_linenumber AS p, max(CASE WHEN l_returnflag = 'R' THEN 1 END) OVER (PARTITION BY l_orderkey % 1000, l_linenumber) AS y, max(CASE WHEN l_returnflag = 'R' THEN 1 END) OVER (PARTITION BY l_orderkey % 1000) AS any_y FROM lineitem) WHERE any_y IS NOT NULL"""
 )
 def task2_flatten(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with the same last three digits stand for a case, as its SQL says; ``task2_flatten_all`` has a case for each order."""
+    return _flatten(table(spark, d, "lineitem").withColumn("l_orderkey", F.pmod("l_orderkey", F.lit(1000))))
+
+
+def _flatten(lines: DataFrame) -> DataFrame:
     """An order stands for a case, its lines for paragraphs, returned ones for entailing ones."""
-    lines = table(spark, d, "lineitem").select(F.pmod("l_orderkey", F.lit(1000)).cast("string").alias("query_id"), F.col("l_linenumber").cast("string").alias("par_id"), "l_returnflag")
+    lines = lines.select(F.col("l_orderkey").cast("string").alias("query_id"), F.col("l_linenumber").cast("string").alias("par_id"), "l_returnflag")
     heads = lines.select("query_id").distinct().withColumn("text", F.lit("fragment"))
     return statistics.flatten_paragraphs(heads, lines, lines.where("l_returnflag = 'R'"))[0]
+
+
+@query(
+    f"""SELECT q AS query_id, q || {_pad("p", 3)} AS candidate_id, label FROM (SELECT {_pad("l_orderkey::VARCHAR", 3)} AS q, l_linenumber::VARCHAR AS p, max((l_returnflag = 'R')::INT) AS label FROM lineitem GROUP BY 1, 2)
+    WHERE q IN (SELECT {_pad("l_orderkey::VARCHAR", 3)} FROM lineitem WHERE l_returnflag = 'R')"""
+)
+def task2_flatten_all(spark: SparkSession, d: str) -> DataFrame:
+    return _flatten(table(spark, d, "lineitem"))

@@ -49,6 +49,12 @@ def test_adaptive_negatives_of_small_pools_are_kept(spark, engine):
     assert sorted((r.query_id, r.positive_id) for r in got) == sorted(want)
 
 
+def test_every_order_is_a_case(spark, engine):
+    got = catalog.QUERIES["task2_flatten_all"](spark, DIR)
+    assert got.select("query_id").distinct().count() == engine.execute("SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = 'R'").fetchone()[0]
+    assert {r.label for r in got.select("label").distinct().collect()} == {0, 1}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
