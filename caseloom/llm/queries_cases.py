@@ -34,6 +34,12 @@ def p1_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, those between copies too, since the problem's cases are pairs of cases; ``p2_links`` and ``p2_groups`` grow with copies only in proportion."""
+    return near_duplicate_pairs(current(spark, sf_dir, "clean_text"), "case_id", "clean_text", SIMILARITY, SHINGLE, copies="pairs")
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs between first members of classes, and of each copy with its first."""
     return near_duplicate_pairs(current(spark, sf_dir, "clean_text"), "case_id", "clean_text", SIMILARITY, SHINGLE)
 
 

@@ -13,7 +13,7 @@ from caseloom.llm import queries_vectors as vectors
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: getattr(module, name)
     for module, names in (
-        (cases, ("p1_found", "p1_balanced", "p2_found", "p2_groups", "p4_found", "p4_shares")),
+        (cases, ("p1_found", "p1_balanced", "p2_found", "p2_links", "p2_groups", "p4_found", "p4_shares")),
         (vectors, ("p3_found", "p3_neighbors", "p5_found", "p5_top")),
         (documents, ("p6_ids", "p6_counts", "p7_found", "p7_report", "p7_mix", "p8_found", "p8_statistics")),
     )
