@@ -1,13 +1,15 @@
 """Most similar vectors for every vector (problem 3): a forest of random-projection trees.
 
 Trees are complete binary trees; a node splits at the median along the direction between two centres of its part of a
-bounded sample, so parts stay even however dense a region is. Every vector is in one leaf of each tree. A query takes
-the leaves of all trees in the order of one shared priority, the least signed margin on the way to the leaf (its own
-leaves first, then those across the nearest planes), until it has PROBES of them. Vectors travel to leaves, leaves
-compare their members with the queries that chose them, and each query keeps the best k by exact cosine.
+bounded sample, so parts stay even however dense a region is. Every vector is in one leaf of each tree. A query descends
+to its own leaf in all trees; the branches it leaves aside go into one queue for all trees, by the least signed margin on
+the way to them, and the foremost is popped and descended until PROBES leaves are found. The queues of a batch of queries
+advance together, so a step is one gather and one product for the nodes that are visited, and no other plane is evaluated.
 
-The priorities of all leaves of a tree come from one matrix product and a minimum for each level. As a priority never
-rises on the way down, the PROBES leaves of highest priority are what popping a queue node by node would give.
+Vectors travel to leaves as bytes with a bound on what rounding changes. A leaf that holds more than twice LEAF, as the sample can't tell leaves
+of millions of vectors apart, gets a tree of its own members, and queries descend that one too: the work for a
+query follows the depth and not the number of vectors. Each leaf keeps what can still be among a query's k best by these
+bounds, and these few are ranked by the exact cosine in double precision.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ from pyspark.sql import functions as F
 
 from caseloom.plans.tables import spread, written
 
-TREES, PROBES, LEAF = 10, 18, 256
+TREES, PROBES, LEAF = 6, 10, 256
+#: Leaves of an oversized leaf's own tree that a query takes.
+INNER = 4
 #: Vectors to which the forest's planes are fitted, at most; all vectors are indexed.
 SAMPLE = 40_000
-_TILE = 2048
+#: Copies of vectors that a task compares, about.
+TASK_ROWS = 60_000
 
 
 def unit_vectors(rows: list[list[float] | None], width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -78,23 +83,67 @@ class Forest:
         return (direction / np.linalg.norm(direction)).astype(np.float32)
 
     def leaves(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each vector: the numbers (tree * leaves + leaf) of its own leaves, and of the other leaves it probes."""
-        trees, n = len(self.normals), 1 << self.depth
-        priority = np.empty((len(x), trees, n), np.float32)
+        """For each vector: the numbers (tree * leaves + leaf) of its own leaves, and of the other leaves it probes, -1 for none."""
+        trees, n, rows = len(self.normals), 1 << self.depth, np.arange(len(x))
+        more = min(max(0, probes - trees), trees * (n - 1))
+        queue = _Queues(len(x), (trees + more) * self.depth)
+        home = np.empty((len(x), trees), np.int64)
         for tree in range(trees):
-            margins = x @ self.normals[tree].T - self.offsets[tree]
-            level = np.full((len(x), 1), np.inf, np.float32)
-            for d in range(self.depth):
-                own = margins[:, (1 << d) - 1 : (2 << d) - 1]
-                level = np.stack([np.minimum(level, -own), np.minimum(level, own)], axis=2).reshape(len(x), -1)
-            priority[:, tree] = level
-        home = priority.argmax(axis=2) + np.arange(trees) * n
-        flat = priority.reshape(len(x), -1)
-        np.put_along_axis(flat, home, -np.inf, axis=1)
-        more = min(max(0, probes - trees), flat.shape[1] - trees)
-        away = np.argpartition(-flat, more, axis=1)[:, :more] if more else np.zeros((len(x), 0), np.int64)
+            home[:, tree] = self._descend(x, rows, np.full(len(x), tree), np.zeros(len(x), np.int64), np.full(len(x), np.inf, np.float32), queue)
+        away = np.full((len(x), more), -1, np.int64)
+        for i in range(more):
+            row, tree, node, bound = queue.pop()
+            away[row, i] = self._descend(x, row, tree, node, bound, queue)
         return home, away
 
+    def _descend(self, x: np.ndarray, row: np.ndarray, tree: np.ndarray, node: np.ndarray, bound: np.ndarray, queue: _Queues) -> np.ndarray:
+        """Leaves below the nodes, on the nearer side of each plane; the other sides are queued."""
+        inner, leaf = (1 << self.depth) - 1, np.empty(len(row), np.int64)
+        at = np.arange(len(row))
+        while True:
+            done = node >= inner
+            if done.any():
+                leaf[at[done]] = tree[done] * (inner + 1) + node[done] - inner
+                row, tree, node, bound, at = (v[~done] for v in (row, tree, node, bound, at))
+            if not len(row):
+                return leaf
+            margin = np.einsum("ij,ij->i", x[row], self.normals[tree, node]) - self.offsets[tree, node]
+            right = margin > 0
+            queue.push(row, tree, 2 * node + 2 - right, np.minimum(bound, -np.abs(margin)))
+            node = 2 * node + 1 + right
+
+
+class _Queues:
+    """A priority queue of (tree, node) for each of some queries, each of them shared by all trees."""
+
+    def __init__(self, queries: int, room: int) -> None:
+        self.key = np.full((queries, max(1, room)), -np.inf, np.float32)
+        self.tree, self.node = np.zeros(self.key.shape, np.int32), np.zeros(self.key.shape, np.int32)
+        self.size = np.zeros(queries, np.int64)
+
+    def push(self, row: np.ndarray, tree: np.ndarray, node: np.ndarray, key: np.ndarray) -> None:
+        """One entry for each of some different queries."""
+        at = self.size[row]
+        self.key[row, at], self.tree[row, at], self.node[row, at] = key, tree, node
+        self.size[row] += 1
+
+    def pop(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Queries whose queue isn't empty, and the tree, node and priority of each one's foremost entry."""
+        at = self.key.argmax(axis=1)
+        row = np.flatnonzero(self.key[np.arange(len(at)), at] > -np.inf)
+        at = at[row]
+        found = row, self.tree[row, at].astype(np.int64), self.node[row, at].astype(np.int64), self.key[row, at]
+        self.key[row, at] = -np.inf
+        return found
+
+
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as bytes, the step of each, and the length of what rounding took away."""
+    step = np.maximum(np.abs(x).max(axis=1), 1e-12) / 127
+    q = np.rint(x / step[:, None]).astype(np.int8)
+    rest = x.astype(np.float64) - q * step[:, None].astype(np.float64)
+    return q, step.astype(np.float32), (np.sqrt((rest * rest).sum(axis=1)) * (1 + 1e-6) + 1e-6).astype(np.float32)
+
 
 def most_similar(
     df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1.0, trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 11,
@@ -106,18 +155,24 @@ def most_similar(
     keys take no part. Of several rows of a key the one with the smallest hash counts (equal rows are one). Ties go to the
     smaller key. Equal vectors are searched for once: of a group of copies the k + 1 smallest keys stand for all.
     ``only`` says by key which rows are queries (all are without it); every row is indexed and found in either case.
+    ``sample`` bounds the vectors that planes are fitted to; what these leave together is split by its own members.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<float>").alias("v"))
-    rows = rows.groupBy("k").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-    widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
-    width = widths[0].w if widths else 0
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, x = unit_vectors(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([r.tobytes() for r in x], pa.binary())], ["k", "x"])
+            lists = batch.column(1).to_pylist()
+            for w in {len(v) for v in lists}:
+                of = [i for i, v in enumerate(lists) if len(v) == w]
+                kept, x = unit_vectors([lists[i] for i in of], w)
+                at = pa.array(np.array(of, np.int64)[kept])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([w] * len(x), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["k", "w", "x"])
 
-    units = written(spread(rows).mapInArrow(unit, "k string, x binary"), "units")
+    usable = written(spread(rows).mapInArrow(unit, "k string, w int, x binary"), "usable")
+    widths = usable.groupBy("w").count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
+    width = widths[0].w if widths else 0
+    units = usable.where(F.col("w") == width).groupBy("k").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
+    units = written(units.withColumn("id", F.monotonically_increasing_id()), "units")
     # copies: the k + 1 smallest keys of each class of equal vectors
     keyed = units.withColumn("c", F.md5("x"))
     classes = keyed.groupBy("c").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m"))
@@ -125,23 +180,27 @@ def most_similar(
     members = written(keyed.join(several, "c").select("rep", "k"), "members")
     singles = units.join(members.where("rep != k").select("k"), "k", "left_anti")
     searched = F.lit(True) if only is None else F.coalesce(only(F.col("k")), F.lit(False)) | F.col("_rep").isNotNull()
-    singles = singles.join(members.select(F.col("rep").alias("_rep")).distinct(), F.col("k") == F.col("_rep"), "left").select("k", "x", searched.alias("q"))
-    singles = written(singles, "distinct")
+    singles = singles.join(members.select(F.col("rep").alias("_rep")).distinct(), F.col("k") == F.col("_rep"), "left").select("id", "k", "x", searched.alias("q"))
     n = singles.count()
     fit = singles.orderBy(F.xxhash64(F.lit(seed), "k"), "k").limit(sample).select("x").collect() if n else []
-    names = "k string, neighbor string, similarity double"
     if n > 1:
         x = np.frombuffer(b"".join(r.x for r in fit), np.float32).reshape(len(fit), width)
         depth = max(0, min(math.ceil(math.log2(max(1.0, n / leaf))), int(math.log2(max(1.0, len(fit) / 8)))))
         # at most trees * sample / 8 planes, whatever the number of vectors
         forest = df.sparkSession.sparkContext.broadcast(Forest(x, trees, depth, seed))
-        routed = spread(singles).mapInArrow(_route(forest, width, probes), "leaf int, own boolean, q boolean, k string, x binary")
-        near = routed.groupBy("leaf").applyInArrow(_compare(width, k, least), "k string, near array<struct<d: double, n: string>>")
-        # a query has at most k neighbours from each of its leaves: PROBES short arrays, ordered by falling similarity and key
-        ranked = near.groupBy("k").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
-        near = ranked.select("k", F.explode("near").alias("x")).select("k", F.col("x.n").alias("neighbor"), (-F.col("x.d")).alias("similarity"))
+        tasks = max(16, math.ceil(n * (trees if only else probes) / TASK_ROWS))
+        routed = spread(singles.select("id", "x", "q")).mapInArrow(_route(forest, width, probes, tasks), "task int, rows binary")
+        near = routed.groupBy("task").applyInArrow(_compare(width, k, least, leaf, seed), "a long, near array<struct<b: long, low: float, high: float>>")
+        # from each of its leaves a query has what may be among the k best there; what may be among the k best of all stays
+        listed = near.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        kth = F.coalesce(F.get(F.sort_array(F.transform("near", lambda c: c["low"]), asc=False), F.lit(k - 1)), F.lit(-2.0).cast("float"))
+        pairs = listed.select("a", F.explode(F.filter("near", lambda c: c["high"] >= kth)).alias("c")).select("a", F.col("c.b").alias("b"))
+        exact = singles.select("id", "k", "x")
+        both = pairs.join(exact.select(F.col("id").alias("a"), F.col("k").alias("ka"), F.col("x").alias("xa")), "a")
+        both = both.join(exact.select(F.col("id").alias("b"), F.col("k").alias("kb"), F.col("x").alias("xb")), "b")
+        near = both.select("ka", "xa", "kb", "xb").mapInArrow(_exact(width, least), "k string, neighbor string, similarity double")
     else:
-        near = df.sparkSession.createDataFrame([], names)
+        near = df.sparkSession.createDataFrame([], "k string, neighbor string, similarity double")
     out = _with_copies(written(near, "near"), members, k, least)
     out = out if only is None else out.where(only(F.col("k")))
     return out.select(F.col("k").alias(key), "neighbor", "similarity", F.col("r").alias("rank"))
@@ -160,63 +219,110 @@ def _with_copies(near: DataFrame, members: DataFrame, k: int, least: float) -> D
     return each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
 
 
-def _route(forest, width: int, probes: int):
+def _route(forest, width: int, probes: int, tasks: int):
+    """The vectors of each task: leaves, whether each is a member there and whether it asks, ids, bytes."""
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for begin in range(0, whole.num_rows, 2048):
+                batch = whole.slice(begin, 2048)
+                ids, asks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width)
-                home, away = f.leaves(x, probes)
-                query = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                away = away[query]
-                row = np.repeat(np.arange(len(x)), home.shape[1]), np.repeat(np.flatnonzero(query), away.shape[1])
-                leaf = np.concatenate([home.ravel(), away.ravel()]).astype(np.int32)
-                own = np.r_[np.ones(home.size, bool), np.zeros(away.size, bool)]
-                take = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(own), *(batch.column(c).take(take) for c in (2, 0, 1))], ["leaf", "own", "q", "k", "x"])
+                home, _ = f.leaves(x[~asks], 0)
+                own, away = f.leaves(x[asks], probes)
+                query = np.flatnonzero(asks)
+                row = np.concatenate([np.repeat(np.flatnonzero(~asks), home.shape[1]), np.repeat(query, own.shape[1]), np.repeat(query, away.shape[1])])
+                leaf = np.concatenate([home.ravel(), own.ravel(), away.ravel()])
+                member = np.arange(len(leaf)) < home.size + own.size
+                row, leaf, member = row[leaf >= 0], leaf[leaf >= 0], member[leaf >= 0]
+                task = leaf % tasks
+                order = np.lexsort((leaf, task))
+                row, leaf, member, task = row[order], leaf[order], member[order], task[order]
+                q, step, rest = rounded(x)
+                flags = member.astype(np.uint8) | asks[row].astype(np.uint8) << 1
+                first = np.flatnonzero(np.r_[True, task[1:] != task[:-1]]) if len(task) else np.zeros(0, int)
+                out = []
+                for a, b in zip(first, np.r_[first[1:], len(task)]):
+                    r = row[a:b]
+                    parts = leaf[a:b].astype(np.int32), ids[r], step[r], rest[r], flags[a:b], q[r]
+                    out.append(b"".join([np.int64(b - a).tobytes(), *(p.tobytes() for p in parts)]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(task[first].astype(np.int32)), pa.array(out, pa.binary())], ["task", "rows"])
 
     return route
 
 
-def _compare(width: int, k: int, least: float):
+def _unpacked(blobs: list[bytes], width: int) -> list[np.ndarray]:
+    parts = []
+    for blob in blobs:
+        n, at, part = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
+        for kind, wide in ((np.int32, 1), (np.int64, 1), (np.float32, 1), (np.float32, 1), (np.uint8, 1), (np.int8, width)):
+            part.append(np.frombuffer(blob, kind, n * wide, at))
+            at += part[-1].nbytes
+        parts.append(part)
+    *columns, q = (np.concatenate(p) for p in zip(*parts))
+    return [*columns, q.reshape(-1, width)]
+
+
+def _compare(width: int, k: int, least: float, size: int, seed: int):
     def compare(rows: pa.Table) -> pa.Table:
-        """The best k of the leaf's members for each query that came to it; exact in double precision."""
-        names = rows.column("k").combine_chunks()
-        x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, width)
-        member = np.flatnonzero(rows.column("own").to_numpy())
-        asked = np.flatnonzero(rows.column("q").to_numpy())
-        of, to, cos = [], [], []
-        for a in range(0, len(asked), _TILE):
-            query = asked[a : a + _TILE]
-            best_to, best = np.zeros((len(query), 0), np.int64), np.zeros((len(query), 0), np.float32)
-            for b in range(0, len(member), _TILE):
-                own = member[b : b + _TILE]
-                dots = x[query] @ x[own].T
-                dots[query[:, None] == own[None, :]] = -2
-                if dots.shape[1] > k + 4:
-                    top = np.argpartition(-dots, k + 3, axis=1)[:, : k + 4]
-                else:
-                    top = np.broadcast_to(np.arange(dots.shape[1]), dots.shape)
-                best_to = np.concatenate([best_to, own[top]], axis=1)
-                best = np.concatenate([best, np.take_along_axis(dots, top, axis=1)], axis=1)
-            i, j = np.nonzero(best >= max(least, -1) - 1e-5)
-            of.append(query[i])
-            to.append(best_to[i, j])
-        i, j = (np.concatenate(v) if v else np.zeros(0, int) for v in (of, to))
-        for a in range(0, len(i), 1 << 16):
-            cos.append(np.einsum("ij,ij->i", x[i[a : a + (1 << 16)]].astype(np.float64), x[j[a : a + (1 << 16)]].astype(np.float64)))
-        c = np.round(np.concatenate(cos), 9) if cos else np.zeros(0)
-        _, code = np.unique(np.array(names.to_pylist(), object), return_inverse=True)
-        order = np.lexsort((code[j], -c, i))
-        i, j, c = i[order], j[order], c[order]
-        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
-        place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-        kept = (place < k) & (c >= least)
-        i, j, c = i[kept], j[kept], c[kept]
-        head = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
-        items = pa.StructArray.from_arrays([pa.array(-c), names.take(pa.array(j))], ["d", "n"])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(i)].astype(np.int32)), items)
-        return pa.table({"k": names.take(pa.array(i[head])), "near": lists})
+        """For each query in each of the task's leaves: the members that may be among its k best there."""
+        leaf, ids, step, rest, flags, q = _unpacked(rows.column("rows").to_pylist(), width)
+        order = np.argsort(leaf, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(leaf[order]) != 0])
+        out: list[tuple[np.ndarray, ...]] = []
+        for a, b in zip(first, np.r_[first[1:], len(order)]):
+            at = order[a:b]
+            member, asks = at[flags[at] & 1 == 1], at[flags[at] & 2 == 2]
+            if not len(member) or not len(asks):
+                continue
+            if len(member) <= 2 * size:
+                out.append(_best(ids, step, rest, q, asks, member, k, least))
+                continue
+            vectors = q[at].astype(np.float32) * step[at, None]
+            place = np.flatnonzero(flags[at] & 1 == 1)
+            part = place if len(place) <= SAMPLE else place[np.argsort(ids[at[place]] * 0x5851F42D4C957F2D, kind="stable")[:SAMPLE]]
+            own = Forest(vectors[part], 1, math.ceil(math.log2(len(member) / size)), seed + int(leaf[at[0]]))
+            home = np.concatenate([own.leaves(vectors[place[i : i + 4096]], 0)[0] for i in range(0, len(place), 4096)])[:, 0]
+            asking = np.flatnonzero(flags[at] & 2 == 2)
+            for i in range(0, len(asking), 4096):
+                some = asking[i : i + 4096]
+                chosen = np.concatenate(own.leaves(vectors[some], INNER), axis=1)
+                for inner in np.unique(chosen[chosen >= 0]):
+                    out.append(_best(ids, step, rest, q, at[some[(chosen == inner).any(axis=1)]], at[place[home == inner]], k, least))
+        a, b, low, high, n = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((),) * 5))
+        items = pa.StructArray.from_arrays([pa.array(b.astype(np.int64)), pa.array(low.astype(np.float32)), pa.array(high.astype(np.float32))], ["b", "low", "high"])
+        return pa.table({"a": pa.array(a.astype(np.int64)), "near": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), items)})
 
     return compare
+
+
+def _best(ids: np.ndarray, step: np.ndarray, rest: np.ndarray, q: np.ndarray, asks: np.ndarray, member: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...]:
+    """Queries that have one, their members that may be among the k best and reach ``least``, least and greatest cosine, and number for each query."""
+    found = []
+    own = q[member].astype(np.float32).T
+    for i in range(0, len(asks), 1024):
+        some = asks[i : i + 1024]
+        # whole numbers below 2^24, so products are exact and the same in every leaf
+        dots = (q[some].astype(np.float32) @ own) * (step[some, None] * step[None, member])
+        slack = rest[some, None] + rest[None, member] + 3 * rest[some, None] * rest[None, member] + np.float32(1e-6)
+        dots[ids[some][:, None] == ids[member][None, :]] = -4
+        low = dots - slack
+        floor = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k] if len(member) > k else np.float32(-3)
+        r, c = np.nonzero((dots + slack >= np.maximum(floor, np.float32(least - 1e-6))) & (dots > -3))
+        found.append((some[r], ids[member[c]], low[r, c], (dots + slack)[r, c]))
+    asked, b, low, high = (np.concatenate(f) for f in zip(*found))
+    head = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]]) if len(asked) else np.zeros(0, int)
+    return ids[asked[head]], b, low, high, np.diff(np.r_[head, len(asked)])
+
+
+def _exact(width: int, least: float):
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, width).astype(np.float64) for c in (1, 3))
+            cosine = np.round(np.einsum("ij,ij->i", x, y), 9)
+            kept = pa.array(np.flatnonzero(cosine >= least))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(2).take(kept), pa.array(cosine).take(kept)], ["k", "neighbor", "similarity"])
+
+    return exact
