@@ -1,14 +1,16 @@
 """Splitting oversized texts at natural boundaries (problem 1).
 
-The cut list of a text is the solution of a dynamic program over its cut positions: from a piece's start s, the pieces
-that may follow are those ending at a position e with ``min_len < e - s <= max_len``; the next piece starts at
-``e - overlap``. An edge costs (tier of the cut, unused length). Two ways to add costs up are offered:
-
-* ``front``: cost lists compare piece by piece from the front. Edges from one start never tie (their lengths differ),
-  so the value function V(s) = min over e of ((tier, slack), V(e - overlap)) expands one edge for each start, and the
-  program runs in linear time. Its optimum is "the last boundary, else the last word gap, else the full length".
-* ``balanced``: penalties and squared imbalance are summed over all pieces; every start that can be reached is expanded,
-  with every boundary in reach, else every word gap, else every position.
+The cut list of a text is the solution of a dynamic program over its cut positions. A state is the start s of a piece; an
+edge cuts at a position e with ``min_len < e - s <= max_len`` and leads to the start ``e - overlap``. All positions in reach
+are edges: boundaries, word gaps and positions inside words. Starts are taken in rising order, so each is final when it
+is expanded. What an edge costs, and how costs compare, is the objective's:
+
+* ``FromFront``: costs are lists of (kind of the cut, unused length), one pair for each cut, compared from the front. The optimum
+  is the stated rule of ``p1_found``. Of the edges of one start only the least can be on it: their pairs differ, and
+  the first pair that differs decides. The others are left out (``every`` keeps them: the same list, more work).
+* ``Summed``: penalties by kind and squared imbalance add up. Penalties alone are solved first, backward over all
+  positions; edges that lie on no list of least penalty can only win by less imbalance, so they come into play where the
+  imbalance of the best list without them is large enough to pay for one.
 """
 
 from __future__ import annotations
@@ -59,60 +61,133 @@ def cuts_between(text: str, low: int, high: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs if a and low < b <= high and b < len(text)]
 
 
-def split_front(text: str, max_len: int, min_len: int, overlap: int) -> list[tuple[int, int]]:
-    """The cheapest cut list when costs compare from the front."""
-    pieces, start, n = [], 0, len(text)
-    while n - start > max_len:
-        runs = cuts_between(text, start + min_len, start + max_len)
-        # cheapest edge: the least tier, then the least slack
-        end = next((b for a, b in reversed(runs) if is_boundary(text, a, b)), runs[-1][1] if runs else start + max_len)
-        pieces.append((start, end))
-        start = end - overlap
-    return [*pieces, (start, n)]
-
-
-def split_balanced(text: str, max_len: int, min_len: int, overlap: int) -> list[tuple[int, int]]:
-    """The cut list with the least sum of penalties and squared imbalance; word gaps are cuts only where no boundary is in
-    reach, positions inside a word only where no word gap is. All cuts in reach of the best such kind are edges."""
-    n = len(text)
+class FromFront:
+    """Cost lists of (kind, unused length), compared from the front."""
+
+    def __init__(self, text: str, max_len: int, min_len: int, overlap: int, every: bool = False) -> None:
+        self.text, self.max_len, self.min_len, self.overlap, self.every = text, max_len, min_len, overlap, every
+        self.cost: dict[int, tuple] = {0: ()}
+
+    def close(self, start: int) -> tuple:
+        return self.cost[start]
+
+    def relax(self, start: int) -> list[int]:
+        edges = self._edges(start) if self.every else [next(self._edges(start))]
+        lower = []
+        for kind, end in edges:
+            to, cost = end - self.overlap, (*self.cost[start], (kind, start + self.max_len - end))
+            if to not in self.cost or cost < self.cost[to]:
+                self.cost[to] = cost
+                lower.append(to)
+        return lower
+
+    def _edges(self, start: int) -> Iterator[tuple[int, int]]:
+        """(kind, end) by rising cost."""
+        low, high = start + self.min_len, start + self.max_len
+        runs = cuts_between(self.text, low, high)
+        yield from ((0, b) for a, b in reversed(runs) if is_boundary(self.text, a, b))
+        yield from ((1, b) for _, b in reversed(runs))
+        yield from ((2, e) for e in range(high, low, -1))
+
+
+class Summed:
+    """Penalties and squared imbalance, added; ``close`` and ``cost`` are without the least sum of penalties, which all lists have."""
+
+    def __init__(self, text: str, max_len: int, min_len: int, overlap: int, spare: float = 0.0) -> None:
+        n = len(text)
+        self.n, self.max_len, self.min_len, self.overlap, self.spare = n, max_len, min_len, overlap, spare
+        runs = cuts_between(text, 0, n)
+        kinds = [b for a, b in runs if is_boundary(text, a, b)], [b for _, b in runs]
+        self.kinds = [(at, np.array(at, np.int64)) for at in kinds]
+        self.imbalance = ((max_len - np.arange(max_len + 1)) / max_len) ** 2  # by length
+        self.rest = self._rest()
+        self.cost = np.full(n, np.inf)
+        self.cost[0] = 0.0
+
+    def _rest(self) -> np.ndarray:
+        """Least penalties of the cuts after a start: 0 where the text ends in reach, else the least in a sliding window of cuts."""
+        n, low, high = self.n, self.min_len + 1, self.max_len
+        penalty = np.full(n, PENALTIES[2], np.float32)
+        for kind in (1, 0):
+            penalty[self.kinds[kind][1]] = PENALTIES[kind]
+        rest = np.zeros(n, np.float32)
+        width, step, top = high - low + 1, low - self.overlap, n - high
+        while top > 0:  # starts of one block lead to starts beyond it, which are known
+            begin = max(0, top - step)
+            after = penalty[begin + low : top + high] + rest[begin + low - self.overlap : top + high - self.overlap]
+            rest[begin:top] = _sliding_min(after, width)[: top - begin]
+            top = begin
+        return rest
+
+    def close(self, start: int) -> float:
+        return self.cost[start] + self.imbalance[self.n - start]
+
+    def relax(self, start: int) -> list[np.ndarray]:
+        low, high, cost, bound = start + self.min_len, start + self.max_len, self.cost[start], self.rest[start] + self.spare
+        lower = []
+        for kind, (at, ends) in enumerate(self.kinds):
+            if PENALTIES[kind] <= bound:
+                lower.append(self._cheaper(start, cost, ends[bisect_right(at, low) : bisect_right(at, high)], PENALTIES[kind], bound))
+        if PENALTIES[2] <= bound:
+            lower.append(self._cheaper(start, cost, np.arange(low + 1, high + 1), PENALTIES[2], bound))
+        return lower
+
+    def _cheaper(self, start: int, cost: float, ends: np.ndarray, penalty: float, bound: float) -> np.ndarray:
+        to = ends - self.overlap
+        more = penalty + self.rest[to] - self.rest[start]
+        kept = more <= bound - self.rest[start]
+        to, new = to[kept], cost + more[kept] + self.imbalance[ends[kept] - start]
+        less = new < self.cost[to]
+        self.cost[to[less]] = new[less]
+        return to[less]
+
+
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` consecutive values, from running minima inside blocks of that width."""
+    m, blocks = len(x) - width + 1, -(-len(x) // width)
+    grid = np.full((blocks, width), np.inf, x.dtype)
+    grid.ravel()[: len(x)] = x
+    ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()[:m]
+    return np.minimum(ahead, np.minimum.accumulate(grid, axis=1).ravel()[width - 1 : width - 1 + m])
+
+
+def optimal_pieces(n: int, overlap: int, max_len: int, objective: FromFront | Summed) -> tuple[list[tuple[int, int]], tuple | float]:
+    """(start, end) of the pieces of the cheapest cut list of a text of n characters, and its cost."""
     if n <= max_len:
-        return [(0, n)]
-    runs = cuts_between(text, 0, n)
-    bounds = [b for a, b in runs if is_boundary(text, a, b)]
-    gaps = [b for _, b in runs]
-    kinds = [(at, np.array(at, np.int64)) for at in (bounds, gaps)]
-    imbalance = ((max_len - np.arange(max_len + 1)) / max_len) ** 2  # by length
-    best, before = np.full(n, np.inf), np.full(n, -1)
-    reached = bytearray(n)
-    flags = np.frombuffer(reached, np.uint8)
-    best[0], start, final = 0.0, 0, (float("inf"), 0)
-    while start >= 0:  # all ways to a start come from smaller starts
-        cost = best[start]
+        return [(0, n)], objective.close(0)
+    before, reached = {0: -1}, bytearray(n)
+    start, final = 0, None
+    while start >= 0:  # all ways to a start come from smaller ones
         if n - start <= max_len:
-            final = min(final, (cost + imbalance[n - start], start))
+            total = objective.close(start)
+            if final is None or total < final[0]:
+                final = total, start
         else:
-            low, high = start + min_len, start + max_len
-            for tier, (at, ends) in enumerate(kinds):
-                i, j = bisect_right(at, low), bisect_right(at, high)
-                if i < j:
-                    ends = ends[i:j]
-                    new, to = cost + PENALTIES[tier] + imbalance[ends - start], ends - overlap
-                    less = new < best[to]
-                    best[to[less]], before[to[less]], flags[to] = new[less], start, 1
-                    break
-            else:
-                to = slice(low + 1 - overlap, high + 1 - overlap)
-                new = cost + PENALTIES[2] + imbalance[min_len + 1 :]
-                less = new < best[to]
-                np.copyto(best[to], new, where=less)
-                np.copyto(before[to], start, where=less)
-                flags[to] = 1
+            for to in objective.relax(start):
+                for t in (to,) if isinstance(to, int) else to.tolist():
+                    before[t], reached[t] = start, 1
         start = reached.find(1, start + 1)
     starts = [final[1]]
-    while (start := int(before[starts[-1]])) >= 0:
+    while (start := before[starts[-1]]) >= 0:
         starts.append(start)
     starts.reverse()
-    return [(a, b + overlap) for a, b in zip(starts, starts[1:])] + [(starts[-1], n)]
+    return [(a, b + overlap) for a, b in zip(starts, starts[1:])] + [(starts[-1], n)], final[0]
+
+
+def split_front(text: str, max_len: int, min_len: int, overlap: int, every: bool = False) -> list[tuple[int, int]]:
+    """The cut list that is cheapest when costs compare from the front."""
+    return optimal_pieces(len(text), overlap, max_len, FromFront(text, max_len, min_len, overlap, every))[0]
+
+
+def split_balanced(text: str, max_len: int, min_len: int, overlap: int) -> list[tuple[int, int]]:
+    """The cut list with the least sum of penalties and squared imbalance over all boundaries, word gaps and other positions."""
+    n = len(text)
+    if n <= max_len:
+        return [(0, n)]
+    pieces, imbalance = optimal_pieces(n, overlap, max_len, Summed(text, max_len, min_len, overlap))
+    if imbalance >= PENALTIES[1] - PENALTIES[0]:  # the least that a list of higher penalties pays more
+        pieces, _ = optimal_pieces(n, overlap, max_len, Summed(text, max_len, min_len, overlap, spare=imbalance))
+    return pieces
 
 
 def split_oversized(

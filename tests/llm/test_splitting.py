@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from caseloom.llm.splitting import ABBREVIATIONS, CLOSERS, SPACE, is_boundary, split_balanced, split_front, split_oversized
+from caseloom.llm import splitting
+from caseloom.llm.splitting import ABBREVIATIONS, CLOSERS, PENALTIES, SPACE, is_boundary, split_balanced, split_front, split_oversized
 
 
 def brute(text, max_len, min_len, overlap):
@@ -35,6 +36,13 @@ def test_front_is_the_stated_rule(text):
     assert split_front(text, 40, 20, 10) == brute(text, 40, 20, 10)
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.text(alphabet="ab. \n  \t!)\"v(1", max_size=150))
+def test_front_with_every_edge(text):
+    """The program over all edges of all starts, not only those that can win, gives the same list."""
+    assert split_front(text, 40, 20, 10, every=True) == brute(text, 40, 20, 10)
+
+
 @pytest.mark.parametrize("objective", [split_front, split_balanced])
 def test_pieces_cover_and_overlap(objective):
     rng = random.Random(1)
@@ -45,47 +53,36 @@ def test_pieces_cover_and_overlap(objective):
     assert all(150 < b - a <= 300 for a, b in pieces[:-1]) and pieces[-1][1] - pieces[-1][0] <= 300
 
 
-def test_balanced_is_optimal():
-    """Against all cut lists of a short text."""
-    text = "aa. bb. cc dd. ee. ff. gg hh. ii. jj."
+def exhaustive(text, max_len, min_len, overlap):
+    """Least cost of all cut lists, and the cost of a given one: all kinds of cuts compete."""
+    n = len(text)
+    runs = [m.span() for m in re.finditer(f"[{SPACE}]+", text) if m.start() and m.end() < n]
+    kind = {b: 0 if is_boundary(text, a, b) else 1 for a, b in runs}
 
-    def cost(pieces):
-        return sum(((20 - b + a) / 20) ** 2 for a, b in pieces)
+    def piece(start, end):
+        return ((max_len - end + start) / max_len) ** 2 + (PENALTIES[kind.get(end, 2)] if end < n else 0)
 
-    ends = [m.end() for m in re.finditer(r"\. ", text)]
+    least = {}
+    for start in range(n, -1, -1):
+        least[start] = piece(start, n) if n - start <= max_len else min(piece(start, e) + least[e - overlap] for e in range(start + min_len + 1, start + max_len + 1))
+    return least[0], lambda pieces: sum(piece(a, b) for a, b in pieces)
 
-    def every(start):
-        if len(text) - start <= 20:
-            yield [(start, len(text))]
-            return
-        for e in ends:
-            if start + 8 < e <= start + 20:
-                for rest in every(e - 3):
-                    yield [(start, e), *rest]
 
-    assert cost(split_balanced(text, 20, 8, 3)) == pytest.approx(min(map(cost, every(0))))
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aaaabc. \n!", max_size=160), st.sampled_from([(14, 5, 2), (20, 8, 8), (12, 3, 0), (9, 7, 1)]))
+def test_balanced_is_optimal(text, sizes):
+    least, cost = exhaustive(text, *sizes)
+    assert cost(split_balanced(text, *sizes)) == pytest.approx(least)
 
 
 @pytest.mark.parametrize("text", ["aaa bb cccc d eee ff ggggg hh i jjj kk llll m", "x" * 43, "aa. bbbbbbbbbbbbbbbbbbbbbbbbbbbbb cc dd eeee ff g. hh", "aaaa bbb cc " + "y" * 31])
-def test_balanced_is_optimal_without_boundaries(text):
-    """Against all cut lists that take boundaries, else word gaps, else any position."""
-    max_len, min_len, overlap, n = 14, 5, 2, len(text)
-    runs = [m.span() for m in re.finditer(" +", text)]
-    kinds = [[b for a, b in runs if is_boundary(text, a, b)], [b for _, b in runs], range(n)]
-
-    def every(start):
-        if n - start <= max_len:
-            yield ((max_len - n + start) / max_len) ** 2, [(start, n)]
-            return
-        found = [[e for e in at if start + min_len < e <= start + max_len] for at in kinds]
-        tier = next(i for i, ends in enumerate(found) if ends)
-        for e in found[tier]:
-            for cost, rest in every(e - overlap):
-                yield (0, 4, 16)[tier] + ((max_len - e + start) / max_len) ** 2 + cost, [(start, e), *rest]
-
-    lists = list(every(0))
-    cost = {tuple(pieces): c for c, pieces in lists}
-    assert cost[tuple(split_balanced(text, max_len, min_len, overlap))] == pytest.approx(min(c for c, _ in lists))
+def test_balanced_is_optimal_where_imbalance_can_pay(text, monkeypatch):
+    """With penalties so low that imbalance may outweigh them."""
+    monkeypatch.setattr(splitting, "PENALTIES", (0.0, 0.02, 0.05))
+    monkeypatch.setitem(globals(), "PENALTIES", (0.0, 0.02, 0.05))
+    for repeats in (1, 3):
+        least, cost = exhaustive(text * repeats, 14, 5, 2)
+        assert cost(split_balanced(text * repeats, 14, 5, 2)) == pytest.approx(least)
 
 
 def test_boundaries():
