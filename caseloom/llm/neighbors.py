@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.plans.tables import spread, written
+from caseloom.plans.tables import small, spread, written
 
 TREES, PROBES, LEAF = 6, 10, 256
 #: Leaves of an oversized leaf's own tree that a query takes.
@@ -168,11 +168,16 @@ def most_similar(
                 at = pa.array(np.array(of, np.int64)[kept])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([w] * len(x), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["k", "w", "x"])
 
-    usable = written(spread(rows).mapInArrow(unit, "k string, w int, x binary"), "usable")
-    widths = usable.groupBy("w").count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
+    # only keys of several rows are shuffled: of their usable vectors the one of the smallest hash is kept
+    many = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "many-rows")
+    side = small(many, many.count(), 40)
+    fine = F.forall("v", lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
+    chosen = rows.join(side, "k", "left_semi").where(fine).groupBy("k").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    one_each = rows.join(side, "k", "left_anti").unionByName(chosen)
+    units = written(spread(one_each).mapInArrow(unit, "k string, w int, x binary").withColumn("id", F.monotonically_increasing_id()), "units")
+    widths = units.groupBy("w").count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
     width = widths[0].w if widths else 0
-    units = usable.where(F.col("w") == width).groupBy("k").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
-    units = written(units.withColumn("id", F.monotonically_increasing_id()), "units")
+    units = units.where(F.col("w") == width)
     # copies: the k + 1 smallest keys of each class of equal vectors
     keyed = units.withColumn("c", F.md5("x"))
     classes = keyed.groupBy("c").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m"))
