@@ -1,8 +1,7 @@
-"""Statistics of one text: how its words, lines and blocks compare with running prose.
+"""Statistics of one text: how its words, sentences and lines compare with running prose.
 
-A *block* is a stretch of lines that reads on: it ends at a blank line, after a line that ends a sentence, before a
-line that starts with a marker (bullet, number, letter, speaker, "name:"), and around a line of few words. So wrapped prose is one block however it is
-broken, while each item of a list and each row of a table is a block of its own.
+A line *reads on* if the next one begins with a letter that is no capital (in a text without small letters, all count as
+small), so wrapped prose reads as the unwrapped does, while items of a list and rows of a table stand alone.
 """
 
 from __future__ import annotations
@@ -11,68 +10,28 @@ import math
 
 import regex
 
-STATISTICS = ("log_words", "word_length", "symbols", "digits", "ending", "common", "clean", "unwritten")
+STATISTICS = ("log_words", "word_length", "symbols", "digits", "ending", "common", "sentence_words", "line_words")
+#: Those that don't depend on the words of a language.
+SHAPE = ("symbols", "digits", "ending", "sentence_words", "line_words")
 
-# Frequent function words, by language.
-COMMON = {
-    "en": "the of and to a in that is was for it with as his on be at by i this had not are but from or have an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other any like my now over such our most made after also before must through where your because each those between both being under never same another while without around however though every upon shall thereof herein again during until against within among whether may might could should these some then do did does how here am us me",
-    "fr": "le la les de des du d l un une et à au aux en dans que qui ne pas n s se sa son ses ce cet cette ces est sont a ont été être par pour sur avec sous sans il elle ils on nous vous leur leurs y ou où mais donc car si plus même après avant selon contre entre lors afin dont comme tout tous toute malgré cours égard défaut",
-    "de": "der die das den dem des ein eine einer einem einen und in im zu von mit auf für ist nicht auch es an als nach wie sich aus bei oder werden wird wurde hat haben dass daß durch über nur noch vor war sind einem zum zur um so gegen",
-    "es": "el la los las de del un una unos unas y a al en que no se por con para su sus es lo como más pero o este esta ha fue son entre sin sobre cuando también desde todo ser le ya si",
-    "it": "il lo la i gli le di del della dei delle un una e è in che non si per con da al alla sono ha come più ma o anche questo questa nel nella su dal",
-    "pt": "o a os as de do da dos das um uma e em no na que não se por com para é ao como mais mas ou foi sua seu são pelo pela entre sem sobre",
-    "nl": "de het een en van in is op te dat die voor met zijn niet aan er om ook als bij door maar naar uit over dan nog tot was worden wordt heeft",
-}
-SPEAKING = {w: {lang for lang, ws in COMMON.items() if w in ws.split()} for ws in COMMON.values() for w in ws.split()}
-SETS = {lang: frozenset(ws.split()) for lang, ws in COMMON.items()}
-HAN = "的一是在不了有和人这中大为上个国我以要他时来用们到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经之进着等部度家力里如水化高自二理起小物现实加量都两体制机当使点从业本去把性好应开它合还因由其些然前外天政四日那社义事平形相全表间样与关各重新线内数正心反你明看原又么利比或但质气第向道命此变条只没结解问意建月公无系军很情者最立代想已通并提直题党程展五果料象员"
-_HAN = frozenset(HAN)
-OTHER_SCRIPTS = (("zh", r"\p{Han}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("ko", r"\p{Hangul}"), ("cyrl", r"\p{Cyrillic}"), ("arab", r"\p{Arabic}"), ("grek", r"\p{Greek}"), ("hebr", r"\p{Hebrew}"), ("deva", r"\p{Devanagari}"), ("thai", r"\p{Thai}"))
-
-_LINES = regex.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
-_WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
-_INVISIBLE = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
-_MARKER = regex.compile(r"\s*(?:[-*•·–—◦▪‣●○■□§»]\s|\(?\p{L}{1,2}\)\s|\(?[ivxlc]{1,5}\)\s|\(?\d{1,4}[.)]\s|\[\d+\]\s|[QA]\.\s|\p{Lu}[\p{L} ]{0,24}:\s|\|)")
-_ITEM = regex.compile(r"\s*(?:[-*•·–—◦▪‣●○■□§»]\s|\(\p{L}{1,5}\)\s|\p{L}\)\s|\(?\d{1,4}[.)]\s)")
+# Line ends, words, invisible characters, sentence ends.
+_LINES = regex.compile("\\r\\n|[\\n\\r\\v\\f\\x1c-\\x1e\\x85\\u2028\\u2029]")
+_WORD = regex.compile(r"\p{Han}|[\p{L}\p{M}]+|\p{N}+")
+_INVISIBLE = regex.compile("[​-‏⁠﻿­]")
 _CLOSERS = "\"'”’»)]」』"
 _TERMINATORS = frozenset(".!?…。！？؟।")
-_SOFT = _TERMINATORS | frozenset(";:,；：，" + _CLOSERS)
-_CLEAN = regex.compile(r"[\"'“‘«(\[\p{Ps}\p{Pi}]*(?:\p{L}[\p{L}\p{M}]*(?:[-'’.&/]\p{L}[\p{L}\p{M}]*)*|[$€£¥]?\p{N}+(?:[.,:/-]\p{N}+)*(?:\(\p{N}+\))*%?)[.,;:!?\"'”’»)\]…\p{Pe}\p{Pf}]*|[–—;:!?«»&-]")
-_LEADER = regex.compile(r"(?:[.·_‥…]\s?){4,}")
-_TAB, _GAP = regex.compile(r"\S\t+\S"), regex.compile(r"[^\s.!?;:,…。] {3,}\S")
-_FOREIGN = regex.compile(r"[^\u0000-\u036f\u1e00-\u1eff\u2000-\u2bff\ufb00-\ufb06\ufeff\ufffd]")
-
-
-_PLAIN = ".,;:!?'\"()[]-“”‘’«»…。，；：！？、"
-
-
-#: No plain word is longer.
-_LONGEST = 100
-
-
-class Judged(dict):
-    """Whether each token is a plain word or number with punctuation around, by token; forgets all when it grows too large."""
-
-    def __missing__(self, token: str) -> bool:
-        if len(self) > 500_000:
-            self.clear()
-        self[token] = judged = len(token) <= _LONGEST and _CLEAN.fullmatch(token) is not None
-        return judged
+_END = regex.compile("[.!?…。！？؟।]+[\"'”’»)\\]」』]*(?=\\s|$)|[。！？]")
+_PUNCTUATION = ".,;:!?'\"()[]-“”‘’«»…。，；：！？、"
 
 
-_JUDGED = Judged()
+def words(text: str) -> list[str]:
+    """Runs of letters or of digits, in small letters; each Han character is a word."""
+    return _WORD.findall(text.lower())
 
 
-def _share_clean(tokens: list[str]) -> float:
-    return sum(map(_JUDGED.__getitem__, tokens)) / len(tokens)
-
-
-def _ends(text: str) -> bool:
-    """Whether the text ends as a sentence does, closing quotes and brackets aside."""
-    bare = text.rstrip()
-    while bare and bare[-1] in _CLOSERS:
-        bare = bare.rstrip(_CLOSERS).rstrip()
-    return bare[-1:] in _TERMINATORS and bare != ""
+def vocabulary(text: str) -> set[str]:
+    """The different words of a text that may be common ones: no numbers, and no single letters but Han characters."""
+    return {w for w in words(_INVISIBLE.sub("", text)) if not w[0].isnumeric() and (len(w) > 1 or w > "⺀")}
 
 
 def _solid(text: str) -> int:
@@ -80,133 +39,57 @@ def _solid(text: str) -> int:
     return sum(map(len, text.split()))
 
 
-def _columned(line: str) -> bool:
-    """Whether a line has columns: tabs, wide gaps, bars, or three fields and more before its last semicolon."""
-    if "\t" in line and _TAB.search(line) or "   " in line and _GAP.search(line) or line.count("|") > 1:
-        return True
-    if line.count(";") < 3:
-        return False
-    *fields, last = line.rsplit(";", 4)
-    return not any(map(str.isspace, last)) and len(fields) > 2 and all(f and not f[0].isspace() for f in fields[-3:])
-
-
-def language(words: list[str], text: str) -> str:
-    """By script first, then by the most frequent function words; "und" where none speak."""
-    letters = sum(map(len, words)) or 1
-    foreign = "" if text.isascii() else "".join(_FOREIGN.findall(text))
-    for name, script in OTHER_SCRIPTS if len(foreign) > 0.3 * letters else ():
-        if len(regex.findall(script, foreign)) > 0.3 * letters:
-            return name
-    votes: dict[str, int] = {}
-    for w in words:
-        for lang in SPEAKING.get(w, ()):
-            votes[lang] = votes.get(lang, 0) + 1
-    if not votes:
-        return "und"
-    best = max(sorted(votes), key=lambda k: votes[k])
-    return best if votes[best] >= 0.08 * len(words) else "und"
-
-
-_PAIR = regex.compile(r"\S\s+[–—=→:]\s+\S")
-
-
-def _anew(lines: list[str]) -> bool:
-    """Whether the lines after the first begin anew instead of reading on."""
-    starts = [m[0] for line in lines[1:] if (m := regex.search(r"\p{L}", line))]
-    return len(lines) > 2 and sum(c.islower() for c in starts) < 0.2 * len(starts) and any(c.islower() for c in "".join(lines))
-
-
-def blocks(text: str) -> list[str]:
-    out: list[str] = []
-    current: list[str] = []
-
-    def close() -> None:
-        if current:
-            out.extend(current if _anew(current) else ["\n".join(current)])
-            current.clear()
-
-    for line in _LINES.split(text):
-        if not (bare := line.strip()):
-            close()
-            continue
-        ended = _ends(line)
-        n = len(bare.split())
-        apart = not ended and (len(bare) < 25 and n < 4 or n <= 10 and _PAIR.search(bare)) or _columned(bare)
-        if apart or _MARKER.match(line):
-            close()
-        current.append(line)
-        if apart or ended:
-            close()
-    close()
-    return out
-
-
-def is_written(block: str, lang: str) -> bool:
-    """Whether a block reads as sentences."""
-    words = _WORD.findall(block.lower())
-    tokens = block.split()
-    solid = sum(map(len, tokens))
-    letters = sum(len(w) for w in words if not w[0].isnumeric())
-    if _LEADER.search(block) or letters < 0.6 * solid:
-        return False
-    if lang in ("zh", "ja", "thai"):
-        return letters >= 6 and (_ends(block) or letters >= 40) and letters < 120 * (1 + len(regex.findall(r"[\p{P}]", block)))
-    ended, item = _ends(block), _ITEM.match(block) is not None
-    if len(words) < 4 or (item and not ended):
-        return False
-    if len(tokens) < 4 or _share_clean(tokens) < 0.75:
-        return False
-    # a text may change its language, so a block speaks the language that it speaks most
-    votes: dict[str, int] = {}
-    for w in words:
-        for name in SPEAKING.get(w, ()):
-            votes[name] = votes.get(name, 0) + 1
-    speaking = max(votes.values(), default=0) / len(words)
-    if not ended:
-        # a sentence may be cut off or run on, but then it must be a long one that speaks
-        return speaking >= 0.2 and len(words) >= 8 and not any(map(_columned, map(str.strip, block.split("\n")))) and sum(w[0].isnumeric() for w in words) < 0.2 * len(words)
-    if speaking >= 0.16:
-        return len(words) >= 5 or speaking >= 0.3
-    # a language without a word list: sentences run on in small letters, if the script has them
-    first = [t[0] for t in regex.findall(r"\p{L}+", block)]
-    return not votes and len(words) >= 6 and sum(c.isupper() for c in first) <= 0.5 * len(words) and sum(w[0].isnumeric() for w in words) < 0.2 * len(words)
-
-
-def statistics(text: str) -> tuple[str, list[float]] | None:
+def statistics(text: str, speaking: dict[str, tuple[str, ...]]) -> tuple[str, list[float]] | None:
     """Language and STATISTICS of a text; None for one without any visible character.
 
-    log_words: log of 1 + number of words; word_length: mean, in letters; symbols and digits: share of non-blank
-    characters that are neither letters, digits nor common punctuation, or that are digits; ending: share of characters in
-    blocks that end in punctuation; common: share of function words of the language (of characters for Han); clean: share
-    of tokens that are a plain word or number with punctuation around; unwritten: share of characters in blocks that
-    aren't sentences.
+    ``speaking`` says of each common word in which languages it is one. The language is the one with most of them, "" if there are none.
+    log_words: log of 1 + number of words; word_length: mean, of words that are no numbers; symbols: share of non-blank
+    characters that are neither letters, digits nor common punctuation; digits: share of words that are numbers; ending:
+    share of non-blank characters that stand before the last sentence end of their line, or in a line that reads on (what follows
+    the last sentence end of the last line may be cut off and doesn't count);
+    common: share of common words; sentence_words and line_words: log of the words for each sentence end, and for each line
+    (lines that read on counted as one).
     """
     text = _INVISIBLE.sub("", text)
-    parts = blocks(text)
-    if not parts:
+    lines = [bare for line in _LINES.split(text) if (bare := line.strip())]
+    if not lines:
         return None
-    words = _WORD.findall(text.lower())
-    lang = language(words, text)
-    sizes = [_solid(b) for b in parts]
+    found = words(text)
+    n = len(found) or 1
+    votes: dict[str, int] = {}
+    common = 0
+    for w in found:
+        if (of := speaking.get(w)) is not None:
+            common += 1
+            for lang in of:
+                votes[lang] = votes.get(lang, 0) + 1
+    sizes = [_solid(line) for line in lines]
     total = sum(sizes)
-    letters = sum(len(w) for w in words)
-    digits = sum(len(w) for w in words if w[0].isnumeric() and not w[0].isalpha())
-    plain = sum(map(text.count, _PLAIN))
-    tokens = text.split()
-    known = SETS.get(lang)
-    if lang in ("zh", "ja"):
-        common = sum(c in _HAN for c in text) / total
-        clean = 1.0
-    else:
-        common = sum(w in known if known else w in SPEAKING for w in words) / max(1, len(words))
-        clean = _share_clean(tokens)
-    return lang, [
-        math.log1p(len(words)),
-        min(40.0, letters / max(1, len(words))),
-        max(0, total - letters - plain) / total,
-        digits / total,
-        sum(s for b, s in zip(parts, sizes) if b.rstrip()[-1:] in _SOFT) / total,
-        common,
-        clean,
-        sum(s for b, s in zip(parts, sizes) if not is_written(b, lang)) / total,
+    named = [w for w in found if not w[0].isnumeric()]
+    letters = sum(map(len, found))
+    small = lines if any(map(str.islower, text)) else [line.lower() for line in lines]
+    on = [line[0].isalpha() and not line[0].isupper() for line in small[1:]] + [False]
+    ended, alone, tail = 0, 0, 0
+    for line, size, more in zip(lines, sizes, on):
+        bare = line.rstrip(_CLOSERS + " ")
+        if more or bare[-1:] in _TERMINATORS and bare:
+            ended += size
+            alone += not more or bare[-1:] in _TERMINATORS
+            continue
+        alone += 1
+        last = None
+        for last in _END.finditer(line):
+            pass
+        done = 0 if last is None else _solid(line[: last.end()])
+        ended, tail = ended + done, size - done
+    tail = 0 if bare[-1:] in _TERMINATORS else tail  # of the last line
+    return max(sorted(votes), key=votes.__getitem__) if votes else "", [
+        math.log1p(n),
+        sum(map(len, named)) / max(1, len(named)),
+        max(0, total - letters - sum(map(text.count, _PUNCTUATION))) / total,
+        (n - len(named)) / n if found else 0.0,
+        ended / max(1, total - tail),
+        common / n,
+        math.log(n / (len(_END.findall(text)) + 1)),
+        math.log(n / max(1, alone)),
     ]

@@ -40,4 +40,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_quality(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
