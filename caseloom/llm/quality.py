@@ -8,7 +8,7 @@ that it is nearest to; it is the sum of one contribution for each statistic, c_j
 
 A document is no prose if its squared distance is beyond the cutoff: the split of the logarithms of all distances into two
 classes of the largest variance between them (Otsu), but at least the 0.999 quantile of chi-squared. No statistic has a
-threshold of its own. S has RIDGE times the squared spread of all documents added, only so that it isn't singular.
+threshold of its own. S has RIDGE times the squared spread of all documents added, and RESOLUTION at least, only so that it isn't singular.
 
 Passes over the documents add up moments by language and by bin of the logarithm of the distance, so one pass gives both the quantile that
 bounds a core and the core's mean and covariance; what reaches the driver are BINS rows for each language.
@@ -35,6 +35,8 @@ COMMON, COMMON_SHARE = 100, 0.05
 #: Share of a language's documents in its first core; concentration and reweighting steps.
 CORE, CONCENTRATIONS, REWEIGHTINGS = 0.75, 4, 3
 RIDGE = 0.05
+#: Differences of each statistic that mean nothing in a text of a few hundred characters; they keep S regular where prose is all alike.
+RESOLUTION = np.array([0.1, 0.1, 0.01, 0.01, 0.03, 0.02, 0.1, 0.1])
 #: Squared distance: the 0.999 quantile of chi-squared with 8 degrees of freedom.
 LEAST_CUTOFF = 26.12
 #: Bins of the logarithm of the squared distance, from LOWEST on, 20 to a unit.
@@ -192,11 +194,11 @@ def prose_models(stats: DataFrame) -> tuple[Models, float]:
     if whole is None or not whole.n:
         return {}, LEAST_CUTOFF
     scale = np.array([max((whole[s][2] - whole[s][0]) / 1.349, 0.1 * whole[f"sd_{s}"], 1e-6) for s in STATISTICS]) ** 2
-    ridge = RIDGE * scale
+    ridge = np.maximum(RIDGE * scale, RESOLUTION**2)
     usable = [r for r in rows if not r.whole and r.language and r.n >= ENOUGH]
     if not usable:
         stats, usable = stats.withColumn("language", F.lit("")), [whole]
-    models = {("" if r.whole else r.language): (np.array([r[s][1] for s in STATISTICS]), np.diag(1 / scale)) for r in usable}
+    models = {("" if r.whole else r.language): (np.array([r[s][1] for s in STATISTICS]), np.diag(1 / np.maximum(scale, RESOLUTION**2))) for r in usable}
     for _ in range(CONCENTRATIONS):
         for lang, sums in _moments(stats, models, True).items():
             below = np.cumsum(sums[:, 0])
