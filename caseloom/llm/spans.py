@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from caseloom.llm import spans_kernel as K
 from caseloom.plans.tables import small, spread, written
 
-#: Owners with more surroundings than this are counted window by window in the JVM, so no task gets them whole.
-WIDE = 20_000
+#: Owners of more characters than this are counted window by window in the JVM, so no task gets them whole.
+WIDE = 2_000_000
+#: Characters of a group of owners, about; the number of groups follows from those counted.
+GROUP_CHARS = 1_000_000
 
 
 def shared_spans(df: DataFrame, key: str, text: str, length: int = 200, anchor: int | None = None) -> DataFrame:
@@ -32,7 +34,8 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 200, anchor:
     """
     anchor = anchor or max(1, length // 2)
     docs = df.where(F.col(key).isNotNull() & (F.length(text) >= length)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    runs = written(spread(docs).mapInArrow(_emit_runs(length, anchor), "k string, a long, c long, i int, n int"), "runs")
+    docs = spread(written(docs, "texts"))
+    runs = written(docs.mapInArrow(_emit_runs(length, anchor), "k string, a long, c long, i int, n int"), "runs")
     doc = F.xxhash64("k")
     owners = (
         runs.groupBy("a")
@@ -42,16 +45,15 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 200, anchor:
     )
     alive = written(runs.join(owners, "a"), "alive")
     contexts = alive.where("not whole").groupBy("a", "c").agg(F.min(doc).alias("d1"), F.max(doc).alias("d2"))
-    contexts = written(contexts.withColumn("wide", F.lit(False)), "contexts")
-    wide = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > WIDE).select("a")
-    wide = written(wide, "wide")
-    n_wide = wide.count()
-
     full = alive.where("whole").select("k", "i", "n")
-    mixed = alive.where("not whole").join(contexts.drop("wide"), ["a", "c"])
-    repeated = mixed.where("d1 != d2").select("k", "i", "n")  # the whole run stands in two records at least
-    # of a repeated run two records are enough for the others to be compared with
-    pieces = mixed.where((doc == F.col("d1")) | (doc == F.col("d2"))).select("k", "a", "i", "n", (F.col("d1") != F.col("d2")).alias("known"))
+    # of a run that repeats as a whole two records are enough for the others to be compared with
+    needed = (doc == F.col("d1")) | (doc == F.col("d2"))
+    mixed = alive.where("not whole").join(contexts, ["a", "c"])
+    mixed = written(mixed.select("k", "a", "i", "n", (F.col("d1") != F.col("d2")).alias("known"), needed.alias("needed")), "mixed")
+    repeated, pieces = mixed.where("known").select("k", "i", "n"), mixed.where("needed").select("k", "a", "i", "n", "known")
+    sizes = written(pieces.groupBy("a").agg(F.sum(F.col("n").cast("long") + (length - 1)).alias("chars")), "sizes")
+    wide = sizes.where(F.col("chars") > WIDE).select("a")
+    chars, n_wide = sizes.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.count_if(F.col("chars") > WIDE)).first()
     wanted = pieces.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "n", "a", "known"))).alias("p"))
     cut = docs.join(wanted, "k").mapInArrow(_cut(length), "k string, a long, i int, n int, known boolean, s string")
     if n_wide:
@@ -60,7 +62,8 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 200, anchor:
         twice = by_window.groupBy("w", "v").agg(F.min(doc).alias("d1"), F.max(doc).alias("d2")).where("d1 != d2").select("w", "v")
         more = by_window.join(twice, ["w", "v"]).select("k", "i", F.lit(1).alias("n"))
         cut = cut.join(small(wide, n_wide, 8), "a", "left_anti")
-    found = cut.groupBy(F.pmod(F.col("a"), F.lit(4096)).alias("b")).applyInArrow(_count(length), "k string, i int, n int")
+    groups = max(16, -(-chars // GROUP_CHARS))
+    found = cut.groupBy(F.pmod(F.col("a"), F.lit(groups)).alias("b")).applyInArrow(_count(length), "k string, i int, n int")
     intervals = full.unionByName(repeated).unionByName(found)
     if n_wide:
         intervals = intervals.unionByName(more)

@@ -111,7 +111,7 @@ def test_a_rare_language_is_compared_in_shape(spark, corpus):
 def test_common_words_come_from_the_corpus(spark, corpus):
     df = spark.createDataFrame(corpus, "doc_id bigint, text string, lang string")
     speaking = common_words(df, "text", "lang")
-    assert speaking["that"] == ("en",) and "fr" in speaking["le"] and "xkdz" not in speaking
+    assert "en" in speaking["that"] and "fr" in speaking["le"] and "xkdz" not in speaking
     assert sum("en" in of for of in speaking.values()) <= quality.COMMON
 
 

@@ -42,6 +42,19 @@ def test_against_brute_force(spark, rows, seed):
 def test_wide_owners_give_the_same(spark, rows, monkeypatch):
     texts = corpus(7)
     monkeypatch.setattr(spans, "WIDE", 1)
+    monkeypatch.setattr(spans, "GROUP_CHARS", 100)
+    df = spark.createDataFrame(list(texts.items()), "case_id string, raw_text string")
+    assert rows(shared_spans(df, "case_id", "raw_text", 40)) == brute(texts, 40)
+
+
+@pytest.mark.parametrize("wide", [300, 10_000_000])
+def test_one_owner_in_most_records(spark, rows, monkeypatch, wide):
+    """A sentence that most records hold, each in other surroundings: one owner holds most of the pieces."""
+    monkeypatch.setattr(spans, "WIDE", wide)
+    monkeypatch.setattr(spans, "GROUP_CHARS", 2_000)
+    rng = random.Random(3)
+    shared = "the same sentence stands in most of the records"
+    texts = {f"{i:03}": "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 60))) + (shared if i % 5 else "") + "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 60))) for i in range(150)}
     df = spark.createDataFrame(list(texts.items()), "case_id string, raw_text string")
     assert rows(shared_spans(df, "case_id", "raw_text", 40)) == brute(texts, 40)
 
