@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.neighbors import most_similar
-from caseloom.llm.topn import top_items
+from caseloom.llm.topn import skipping, top_items
 from caseloom.plans.tables import table
 
 NEIGHBORS, COSINE = 10, 0.9
@@ -29,3 +29,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_items(table(spark, sf_dir, "ltr_features"), "query_id", "candidate_id", "dense_score", "scored_at", NEIGHBORS)
+
+
+def p5_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, and row groups read and passed over, of ``p5_found``."""
+    return skipping(table(spark, sf_dir, "ltr_features"), "query_id", "candidate_id", "dense_score", "scored_at", NEIGHBORS)

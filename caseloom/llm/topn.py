@@ -24,8 +24,8 @@ from caseloom.plans.tables import new_path, written
 
 #: Bytes of a row group before encoding: small, so that skipping is fine-grained.
 ROW_GROUP_BYTES = 1 << 18
-#: Rows of a clustered file, about.
-FILE_ROWS = 500_000
+#: Rows of a clustered file, at least and at most, about; between them there are four files for each core.
+FILE_ROWS = 50_000, 1_000_000
 
 
 def latest_scores(df: DataFrame, group: str, item: str, score: str, version: str) -> DataFrame:
@@ -40,20 +40,29 @@ def latest_scores(df: DataFrame, group: str, item: str, score: str, version: str
     return last.where(F.col("s").isNotNull() & (F.col("g") != F.col("c")))
 
 
-def cluster(scores: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES, file_rows: int = FILE_ROWS) -> None:
-    """Writes (g, c, s) to files that each hold a range of (group, score), sorted by group, score descending and item."""
+def cluster(scores: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES, file_rows: int | None = None) -> None:
+    """Writes (g, c, s) to files that each hold a range of (group, score, item), sorted by group, score descending and item.
+
+    The item is part of the range, so a group of one repeated score is split like any other.
+    """
     scores = written(scores, "scores")
-    files = max(1, -(-scores.count() // file_rows))
-    ranged = scores.repartitionByRange(files, F.col("g"), F.desc("s")).sortWithinPartitions("g", F.desc("s"), "c")
+    n = scores.count()
+    file_rows = file_rows or min(max(n // (4 * scores.sparkSession.sparkContext.defaultParallelism), FILE_ROWS[0]), FILE_ROWS[1])
+    files = max(1, -(-n // file_rows))
+    ranged = scores.repartitionByRange(files, F.col("g"), F.desc("s"), F.col("c")).sortWithinPartitions("g", F.desc("s"), "c")
     ranged.write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", row_group_bytes // 4).option("compression", "zstd").parquet(path)
 
 
-def read_top(path_of_file: str, n: int) -> tuple[dict[str, list[tuple[float, str]]], int, int]:
-    """Best n (score, item) of each group of a clustered file; row groups read and passed over."""
-    system, path = fs.FileSystem.from_uri(path_of_file)
+def read_top(source: str | bytes, n: int) -> tuple[dict[str, list[tuple[float, str]]], int, int]:
+    """Best n (score, item) of each group of a clustered file, given by its path or content; row groups read and passed over."""
     best: dict[str, list[tuple[float, _Last]]] = {}
     read = skipped = 0
-    with system.open_input_file(path) as source:
+    if isinstance(source, bytes):
+        opened = pa.BufferReader(source)
+    else:
+        system, path = fs.FileSystem.from_uri(source)
+        opened = system.open_input_file(path)
+    with opened as source:
         file = pq.ParquetFile(source)
         meta, names = file.metadata, file.schema_arrow.names
         stats = [(meta.row_group(i).column(names.index("s")).statistics, meta.row_group(i).column(names.index("g")).statistics) for i in range(meta.num_row_groups)]
@@ -97,34 +106,58 @@ class _Last:
         return isinstance(other, _Last) and self.value == other.value
 
 
-def top_of_files(df: DataFrame, path: str, n: int) -> DataFrame:
-    """(g, c, s, rank) from clustered files."""
+def _each_file(df: DataFrame, path: str, n: int) -> DataFrame:
+    """(g, c, s, read, skipped): the best rows of each clustered file, and one row for each file of its row groups read and passed over.
+
+    Files of file systems that Arrow knows are opened on the executors, where only the row groups needed are read. Others come as bytes
+    through Spark's own reader and its credentials; there skipping saves decoding.
+    """
     spark = df.sparkSession
     files = spark.read.parquet(path).inputFiles()
     if not files:
-        return spark.createDataFrame([], "g string, c string, s double, rank int")
-    tasks = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+        return spark.createDataFrame([], "g string, c string, s double, read int, skipped int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path_of_file in batch.column(0).to_pylist():
-                found, _, _ = read_top(path_of_file, n)
-                rows = [(g, c, s) for g, heap in found.items() for s, c in heap]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.float64()))], ["g", "c", "s"])
+            for source in batch.column(0).to_pylist():
+                found, read, skipped = read_top(source, n)
+                rows = [(g, c, s, None, None) for g, heap in found.items() for s, c in heap] + [(None, None, None, read, skipped)]
+                types = pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["g", "c", "s", "read", "skipped"])
+
+    if files[0].startswith(("file:", "hdfs:")):
+        sources = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism))
+    else:
+        sources = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("content")
+    return sources.mapInArrow(run, "g string, c string, s double, read int, skipped int")
+
 
-    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(tasks)
+def top_of_files(df: DataFrame, path: str, n: int) -> DataFrame:
+    """(g, c, s, rank) from clustered files."""
     best = Window.partitionBy("g").orderBy(F.desc("s"), "c")
-    ranked = listed.mapInArrow(run, "g string, c string, s double").withColumn("rank", F.row_number().over(best))
+    ranked = _each_file(df, path, n).where("read is null").select("g", "c", "s").withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= n)
 
 
+def row_groups(df: DataFrame, path: str, n: int) -> DataFrame:
+    """One row: files of a clustered path, and row groups read and passed over for the best n."""
+    return _each_file(df, path, n).where("read is not null").agg(F.count(F.lit(1)).alias("files"), F.sum("read").alias("read"), F.sum("skipped").alias("skipped"))
+
+
 def top_items(df: DataFrame, group: str, item: str, score: str, version: str, n: int = 10) -> DataFrame:
     """(group, item, score, rank): for each group the n items of the highest latest score, ties by item ascending.
 
     Groups with fewer usable items give all they have; see ``latest_scores`` for what is usable.
     """
+    return top_of_files(df, _clustered(df, group, item, score, version), n).select(F.col("g").alias(group), F.col("c").alias(item), F.col("s").alias(score), "rank")
+
+
+def skipping(df: DataFrame, group: str, item: str, score: str, version: str, n: int = 10) -> DataFrame:
+    """(files, read, skipped): what ``top_items`` reads and passes over of its row groups."""
+    return row_groups(df, _clustered(df, group, item, score, version), n)
+
+
+def _clustered(df: DataFrame, group: str, item: str, score: str, version: str) -> str:
     path = new_path(df.sparkSession, "clustered")
-    scores = latest_scores(df.withColumns({c: F.col(c).cast("string") for c in (group, item)}), group, item, score, version)
-    cluster(scores, path)
-    return top_of_files(df, path, n).select(F.col("g").alias(group), F.col("c").alias(item), F.col("s").alias(score), "rank")
+    cluster(latest_scores(df.withColumns({c: F.col(c).cast("string") for c in (group, item)}), group, item, score, version), path)
+    return path

@@ -1,6 +1,8 @@
 import random
 
-from caseloom.llm.topn import cluster, latest_scores, read_top, top_items, top_of_files
+from pathlib import Path
+
+from caseloom.llm.topn import cluster, latest_scores, read_top, row_groups, top_items, top_of_files
 
 NAN = float("nan")
 SCHEMA = "query_id string, candidate_id string, dense_score float, scored_at timestamp, g int, s string"
@@ -50,3 +52,18 @@ def test_hot_group_over_many_files_with_ties(spark, rows, tmp_path):
     read = [read_top(f, 10)[1:] for f in files]
     skipped, opened = sum(s for _, s in read), sum(r for r, _ in read)
     assert len(files) > 3 and skipped > 0.3 * (skipped + opened)  # the hot half of the rows is mostly passed over
+    counted = row_groups(df, path, 10).first()
+    assert (counted.files, counted.read, counted.skipped) == (len(files), opened, skipped)
+    assert read_top(Path(files[0].removeprefix("file://")).read_bytes(), 10) == read_top(files[0], 10)
+
+
+def test_a_million_equal_scores_in_one_group(spark, rows, tmp_path):
+    """One group of one score is split into files of like size, and its first items by name come out."""
+    from pyspark.sql import functions as F
+
+    scores = spark.range(1_000_000).select(F.lit("hot").alias("g"), F.format_string("c%07d", "id").alias("c"), F.lit(0.5).alias("s"))
+    path = f"file://{tmp_path}/equal"
+    cluster(scores, path, file_rows=100_000)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 250_000
+    assert rows(top_of_files(scores, path, 5), "c") == [(f"c{i:07}",) for i in range(5)]
