@@ -15,7 +15,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators.ranking import rank_by_candidate
@@ -89,7 +89,9 @@ class Ranker:
         pos = rows.where("label > 0").select("query_id", F.col("candidate_id").alias("_p"), F.col("_a").alias("_up"))
         # so many negatives of a query meet each of its positives, in seeded order: pairs stay linear in positives
         order = F.xxhash64(F.lit(self.seed), "query_id", "candidate_id")
-        neg = rows.where("label <= 0").groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(order.alias("h"), "_a"))), 1, self.negatives).alias("_n"))
+        first = Window.partitionBy("query_id").orderBy(order, "candidate_id")
+        few = rows.where("label <= 0").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= self.negatives)
+        neg = few.groupBy("query_id").agg(F.collect_list(F.struct("_r", "_a")).alias("_n"))
         pairs = pos.join(neg, "query_id").select("_up", F.explode("_n").alias("_n")).select(F.zip_with("_up", F.col("_n._a"), lambda a, b: a - b).alias("_d"))
         both = pairs.select(F.explode(F.array(F.struct(F.col("_d").alias("d"), F.lit(1.0).alias("y")), F.struct(F.transform("_d", lambda v: -v).alias("d"), F.lit(0.0).alias("y")))).alias("s")).select("s.*")
         from pyspark.ml.functions import array_to_vector

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.plans.tables import written
+
 
 def rank_by_position(df: DataFrame, score: str, position: str, query: str = "query_id", k: int | None = None) -> DataFrame:
     """Adds rank from 1, score descending and earlier position first; only ranks up to k if given."""
@@ -56,6 +58,25 @@ def ordered_union(first: DataFrame, second: DataFrame, key: str, position: str)
     return both.groupBy(key).agg(F.min("_p").alias("_p")).select(key, F.col("_p.part").alias("part"), F.col("_p.at").alias(position))
 
 
+def sorted_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """(pos, key): the distinct keys of both, numbered in order of the keys; null keys are dropped."""
+    both = first.select(key).union(second.select(key)).where(F.col(key).isNotNull()).distinct()
+    return positions_of(both, [F.col(key)]).select("pos", key)
+
+
+def candidate_override(scope: DataFrame, chosen: DataFrame, existing: DataFrame) -> DataFrame:
+    """(pos, candidate_id): the candidates that the chosen queries (query_id) have in scope and that exist (candidate_id), in order."""
+    wanted = scope.join(chosen.select("query_id").distinct(), "query_id", "left_semi").select("candidate_id").distinct()
+    return sorted_union(wanted.join(existing.select("candidate_id").distinct(), "candidate_id", "left_semi"), wanted.limit(0), "candidate_id")
+
+
+def split_selection(files: DataFrame, listed: DataFrame | None, key: str = "query_id") -> DataFrame:
+    """Ids of ``files`` that a split lists; all of them where the split has no list (None) or an empty one."""
+    if listed is None or listed.isEmpty():
+        return files.select(key).distinct()
+    return files.select(key).distinct().join(listed.select(key).distinct(), key, "left_semi")
+
+
 def slice_by_ids(table: DataFrame, ids: DataFrame, key: str, position: str = "pos") -> tuple[DataFrame, DataFrame]:
     """Rows of the wanted ids with their position in ids (repeated ids give repeated rows), and the ids that are missing."""
     wanted = ids.select(key, position)
@@ -67,9 +88,10 @@ def positions_of(df: DataFrame, order: list[Column], name: str = "pos") -> DataF
     """Adds 0-based positions in a total order without gathering the rows in one task.
 
     Rows are range-partitioned by the order, numbered inside their partitions, and shifted by the sizes of those before.
+    The numbered rows are written once, since ranges planned twice need not have the same bounds.
     """
     parted = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = parted.withColumn("_po_id", F.monotonically_increasing_id()).withColumn("_po_part", F.shiftright("_po_id", 33))
+    numbered = written(parted.withColumn("_po_id", F.monotonically_increasing_id()).withColumn("_po_part", F.shiftright("_po_id", 33)), "numbered")
     sizes = numbered.groupBy("_po_part").agg(F.count(F.lit(1)).alias("_po_n"))  # one row for each partition
     earlier = Window.orderBy("_po_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("_po_part", F.coalesce(F.sum("_po_n").over(earlier), F.lit(0)).alias("_po_before"))

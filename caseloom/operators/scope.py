@@ -77,14 +77,28 @@ def filter_by_scope(run: DataFrame, scope: DataFrame, missing: Missing) -> DataF
     return flagged.where(F.col("_scoped").isNull() | F.col("_held").isNotNull()).drop("_scoped", "_held")
 
 
+def scope_of_queries(queries: DataFrame, scope: DataFrame) -> DataFrame:
+    """(query_id, candidate_id, pos) of the given queries: the rows under their own id, else under the id with ``.txt``, else under the
+    id without leading zeros. The first of these keys that the scope has at all counts."""
+    q = F.col("query_id")
+    forms = F.array(q, F.concat(q, F.lit(".txt")), F.ltrim(q, F.lit("0")))
+    tried = queries.select("query_id").where(q.isNotNull()).distinct().select("query_id", F.posexplode(forms).alias("_n", "_key"))
+    keys = scope.select(F.col("query_id").alias("_key")).distinct()
+    best = tried.join(keys, "_key").groupBy("query_id").agg(F.min_by("_key", "_n").alias("_key"))
+    return best.join(scope.select(F.col("query_id").alias("_key"), "candidate_id", "pos"), "_key").select("query_id", "candidate_id", "pos")
+
+
 def missing_queries(run: DataFrame, scope: DataFrame) -> DataFrame:
     return run.select("query_id").distinct().join(scope.select("query_id").distinct(), "query_id", "left_anti")
 
 
 def scope_or_all(queries: DataFrame, scope: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The scope, plus every candidate for queries that have none (policy ALL)."""
+    """The scope, plus every candidate for queries that have none (policy ALL).
+
+    Its size is that of the scope plus lost queries x candidates, for consumers that need the relation itself; ``filter_by_scope``
+    with KEEP gives the same rows of a run without making it.
+    """
     lost = queries.select("query_id").join(scope.select("query_id").distinct(), "query_id", "left_anti")
-    # stated for all candidates: the relation itself is queries x candidates
     every = lost.join(candidates.select("candidate_id", "pos"), F.lit(True))
     return scope.select("query_id", "candidate_id", "pos").unionByName(every)
 

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from caseloom.functions import ids
 from caseloom.functions.text import stripped
-from caseloom.operators.ranking import ordered_distinct, slice_by_ids, top_in_run_order
+from caseloom.operators.ranking import ordered_distinct, positions_of, slice_by_ids, top_in_run_order
+from caseloom.operators.sampling import sample_rows
 
-NORMALIZERS = {"plain": ids.plain_id, "padded": ids.padded_id, "none": lambda c: c}
+NORMALIZERS = {"plain": ids.plain_id, "padded": ids.padded_id, "label": ids.label_id, "none": lambda c: c}
 STRINGS = "array<string>"
 _GROUP = T.StructType([T.StructField("qid", T.StringType()), T.StructField("query", T.StringType())])
 _PASSAGE = T.StructType([T.StructField("pid", T.StringType()), T.StructField("passage", T.StringType())])
@@ -73,9 +74,10 @@ def read_ids(spark: SparkSession, path: str, whole_line: bool = False, distinct:
     return out.orderBy("pos").limit(limit) if limit >= 0 else out
 
 
-def read_run(spark: SparkSession, path: str, min_fields: int = 6) -> DataFrame:
-    """(line_no, query_id, q0, candidate_id, rank, score, run_tag) of a run file; lines with fewer fields are skipped."""
-    lines = numbered_lines(spark, path).withColumn("f", F.split(stripped(F.col("value")), r"(?U)\s+")).where(F.size("f") >= min_fields)
+def read_run(spark: SparkSession, path: str, min_fields: int = 6, exact: bool = False) -> DataFrame:
+    """(line_no, query_id, q0, candidate_id, rank, score, run_tag) of a run file; lines with fewer fields are skipped, with ``exact`` those with more too."""
+    fields = F.size("f")
+    lines = numbered_lines(spark, path).withColumn("f", F.split(stripped(F.col("value")), r"(?U)\s+")).where(fields == min_fields if exact else fields >= min_fields)
     f = lambda i: F.get("f", F.lit(i))
     return lines.select("line_no", f(0).alias("query_id"), f(1).alias("q0"), f(2).alias("candidate_id"), f(3).try_cast("int").alias("rank"), f(4).try_cast("double").alias("score"), f(5).alias("run_tag"))
 
@@ -88,7 +90,7 @@ def run_top_k(run: DataFrame, k: int, skip_self: bool = True, numeric: bool = Tr
 
 
 def run_by_rank(run: DataFrame, k: int) -> DataFrame:
-    """Rows whose own rank column is at most k, with run ids (N4)."""
+    """Rows whose own rank column is at most k, with run ids (N4); the run is read with ``exact``."""
     return run.where(F.col("rank") <= k).select(ids.run_id(F.col("query_id")).alias("query_id"), ids.run_id(F.col("candidate_id")).alias("candidate_id"), "rank", "score")
 
 
@@ -98,10 +100,11 @@ def run_by_rank(run: DataFrame, k: int) -> DataFrame:
 def read_relation(spark: SparkSession, path: str, normalize: str = "padded") -> DataFrame:
     """(query_id, candidate_id, pos) of a JSON object query -> candidates, first occurrences in order.
 
-    A file that holds no object is an error; values that are no lists count as empty; empty ids are dropped.
+    The path may also be a folder of files of one such object each, as ``write_relation`` makes them. A file that holds no
+    object is an error; values that are no lists count as empty; empty ids are dropped.
     """
     whole = spark.read.text(path, wholetext=True)
-    bad = whole.where(~F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$")).limit(1).count()
+    bad = whole.where(~F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$") | F.from_json("value", "map<string,string>").isNull()).limit(1).count()
     if bad:
         raise ValueError(f"{path}: JSON must be an object")
     pairs = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("q", "c"))
@@ -132,9 +135,10 @@ def read_prediction_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAIR).json(path, multiLine=True)
 
 
-def read_prompts(spark: SparkSession, path: str, prompt: str = "prompt", answer: str = "label") -> DataFrame:
-    """(text) of JSON lines: prompt and answer joined."""
-    return spark.read.json(path).select(F.concat(F.col(prompt), F.col(answer)).alias("text"))
+def read_prompts(spark: SparkSession, path: str, prompt: str = "prompt", answer: str = "label", n: int = -1, seed: int = 42) -> DataFrame:
+    """(text) of JSON lines: prompt and answer joined; of all, or of n rows in seeded order."""
+    texts = spark.read.json(path).select(F.concat(F.col(prompt), F.col(answer)).alias("text"))
+    return texts if n < 0 else sample_rows(texts, n, seed, "text")
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
@@ -181,9 +185,12 @@ def read_vectors(spark: SparkSession, path: str, wanted: DataFrame | None = None
     return (rows, None) if wanted is None else slice_by_ids(rows, wanted, "case_id")
 
 
-def split_corpus(df: DataFrame, test_share: float = 0.001, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the text; the text column is required."""
+def split_corpus(df: DataFrame, test_share: float = 0.001, seed: int = 42, shuffle: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows by a hash of the text; the text column is required. With ``shuffle`` both have a column pos, their place in seeded order."""
     if "text" not in df.columns:
         raise ValueError("the corpus needs a text column")
-    test = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) < int(test_share * 1_000_000)
-    return df.where(~test), df.where(test)
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce("text", F.lit("")))), 1, 8), 16, 10).cast("long")
+    test = number < int(test_share * (1 << 32))
+    parts = df.where(~test), df.where(test)
+    order = [F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), "text")), F.col("text")]
+    return tuple(positions_of(p, order) for p in parts) if shuffle else parts

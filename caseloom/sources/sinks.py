@@ -1,21 +1,33 @@
 """Writers of the pipeline's files, and the lines they write.
 
-Files are partitioned; ``single`` makes one ordered file, for results that fit one.
+Files are partitioned and ordered by ranges, so they read in order one after the other; ``single`` makes one file, for results that fit one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from caseloom.functions.text import LINE_BREAK, corpus_text, stripped
 
 SUBMISSION = "^[!-~]+ [!-~]+ [!-~]+$"
 
 
+@F.pandas_udf(StringType())
+def number_text(values: pd.Series) -> pd.Series:
+    """The shortest text that reads back as the same double, as Python writes it: 0.0001, 1e-05, 12.0; null stays null."""
+    return pd.Series([None if v is None or v is pd.NA else repr(float(v)) for v in values.astype(object).where(values.notna(), None)], dtype=object)
+
+
 def run_lines(run: DataFrame, tag: str) -> DataFrame:
     """(value): "query Q0 candidate rank score tag"."""
-    return run.select(F.concat_ws(" ", "query_id", F.lit("Q0"), "candidate_id", F.col("rank").cast("string"), F.col("score").cast("string"), F.lit(tag)).alias("value"))
+    score = number_text(F.col("score").cast("double"))
+    return run.select(F.concat_ws(" ", "query_id", F.lit("Q0"), "candidate_id", F.col("rank").cast("string"), score, F.lit(tag)).alias("value"))
 
 
 def submission_lines(run: DataFrame, tag: str) -> DataFrame:
@@ -28,16 +40,19 @@ def bad_submission_lines(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.coalesce(~F.col("value").rlike(SUBMISSION), F.lit(True))).alias("bad"))
 
 
+def _in_order(df: DataFrame, single: bool, *order: str) -> DataFrame:
+    return (df.coalesce(1) if single else df.repartitionByRange(*order)).sortWithinPartitions(*order)
+
 
-def write_run(run: DataFrame, path: str, tag: str, single: bool = True) -> None:
-    placed = run.coalesce(1).sortWithinPartitions("query_id", "rank") if single else run
+def write_run(run: DataFrame, path: str, tag: str, single: bool = False) -> None:
+    placed = _in_order(run, single, "query_id", "rank")
     run_lines(placed, tag).write.mode("overwrite").text(path)
 
 
-def write_submission(run: DataFrame, path: str, tag: str, queries: DataFrame | None = None, rank: str = "rank", single: bool = True) -> None:
+def write_submission(run: DataFrame, path: str, tag: str, queries: DataFrame | None = None, rank: str = "rank", single: bool = False) -> None:
     """In the order of ``queries`` (query_id, pos) and rank, or by query."""
     placed = run.join(queries.select("query_id", F.col("pos").alias("_pos")), "query_id") if queries is not None else run.withColumn("_pos", F.lit(0))
-    placed = placed.coalesce(1).sortWithinPartitions("_pos", "query_id", rank) if single else placed
+    placed = _in_order(placed, single, "_pos", "query_id", rank)
     submission_lines(placed, tag).write.mode("overwrite").text(path)
 
 
@@ -45,14 +60,33 @@ def write_vectors(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def relation_json(scope: DataFrame) -> DataFrame:
-    """(value): one line of JSON for each query, {"query_id": ..., "candidates": [...]} in order."""
-    listed = scope.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "candidate_id"))), lambda x: x["candidate_id"]).alias("candidates"))
-    return listed.select(F.to_json(F.struct("query_id", "candidates")).alias("value"))
+def relation_json(relation: DataFrame, position: str = "pos") -> DataFrame:
+    """(value): a line of JSON for each query, "query": [candidates in order]."""
+    listed = relation.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(position, "candidate_id"))), lambda x: x["candidate_id"]).alias("candidates"))
+    pair = F.to_json(F.create_map(F.col("query_id"), F.col("candidates")))
+    return listed.select("query_id", F.substring(pair, F.lit(2), F.length(pair) - 2).alias("value"))
+
+
+def write_relation(relation: DataFrame, path: str, single: bool = False, position: str = "pos") -> None:
+    """Files of one JSON object each, {"query": [candidates], ...}, queries in order; ``read_relation`` reads the folder."""
+    lines = _in_order(relation_json(relation, position), single, "query_id")
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "{"
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array([before + ",\n".join(values)])], ["value"])
+                before = ","
+        if before == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["}"])], ["value"])
+
+    lines.mapInArrow(framed, "value string").write.mode("overwrite").text(path)
 
 
-def write_relation(scope: DataFrame, path: str) -> None:
-    relation_json(scope).write.mode("overwrite").text(path)
+def write_candidates(run: DataFrame, path: str, rank: str = "rank") -> None:
+    """Candidates of each query by rank, in the form of ``write_relation``."""
+    write_relation(run, path, position=rank)
 
 
 def candidates_by_rank(run: DataFrame, rank: str = "rank") -> DataFrame:
@@ -88,9 +122,10 @@ def append_result(df: DataFrame, path: str) -> None:
     df.select("model_name", "topk", "trec_file", "f1", "precision", "recall", "notes").write.mode("append").parquet(path)
 
 
-def year_log(features: DataFrame) -> DataFrame:
-    """(case_id, year, source), each case once."""
-    return features.groupBy("case_id").agg(F.min(F.struct("year", F.col("year_source").alias("source"))).alias("y")).select("case_id", "y.year", "y.source")
+def year_log(features: DataFrame, position: str = "pos") -> DataFrame:
+    """(case_id, year, source) of the first row of each case; of rows at one position the least (year, source)."""
+    first = F.min(F.struct(position, "year", F.col("year_source").alias("source"))).alias("y")
+    return features.groupBy("case_id").agg(first).select("case_id", "y.year", "y.source")
 
 
 def write_samples(df: DataFrame, path: str) -> None:
@@ -99,9 +134,9 @@ def write_samples(df: DataFrame, path: str) -> None:
 
 def rerank_lines(df: DataFrame) -> DataFrame:
     """(value): "query<TAB>passage<TAB>score"."""
-    return df.select(F.concat_ws("\t", "qid", "pid", F.col("score").cast("string")).alias("value"))
+    return df.select(F.concat_ws("\t", "qid", "pid", number_text(F.col("score").cast("double"))).alias("value"))
 
 
 def entailment_lines(ranked: DataFrame) -> DataFrame:
     """(value): "case paragraph score rank"."""
-    return ranked.select(F.concat_ws(" ", "query_id", "candidate_id", F.col("score").cast("string"), F.col("rank").cast("string")).alias("value"))
+    return ranked.select(F.concat_ws(" ", "query_id", "candidate_id", number_text(F.col("score").cast("double")), F.col("rank").cast("string")).alias("value"))

@@ -65,27 +65,32 @@ def test_vectors(spark):
     assert [tuple(r) for r in df.select(vectors.dot("a", "b"), F.round(vectors.cosine("a", "b"), 6)).collect()] == [(24.0, 0.96), (0.0, 0.0)]
 
 
-def test_cleaner():
-    assert C.clean_case("junk [1] The [FC] sat.\nIt was [t] he day\nafter.\nLa cour a dit que le droit est.\nZzz qqq.\nThe end of it.") == "The [FC] sat.\nIt was the day after.\n\nThe end of it."
-    assert "{FC]" in C.clean_case("The [FC] sat.", compat=True)
-    assert C.clean_case("foo [t] he", detect=lambda _: "en", compat=True) == "foothe"
-    assert C.clean_case("foo [t] he", detect=lambda _: "en") == "foo the"
-    assert C.clean_case("\n<FRAGMENT_SUPPRESSED>\n(a) one;\n(b) two [sic]", detect=lambda _: "en") == "(a) one;\n(b) two "
-    assert C.clean_case(None) is None and C.clean_case("") == ""
+def test_cleaner(spark):
+    def clean(text, **options):
+        df = spark.createDataFrame([(text,)], "raw string")
+        return C.clean_cases(df, "raw", "out", **options).first().out
+
+    english = lambda _: "en"
+    assert clean("junk [1] The [FC] sat.\nIt was [t] he day\nafter.\nLa cour a dit que le droit est.\nZzz qqq.\nThe end of it.") == "The [FC] sat.\nIt was the day after.\n\nThe end of it."
+    assert "{FC]" in clean("The [FC] sat.", compat=True)
+    assert clean("foo [t] he", detect=english, compat=True) == "foothe" and clean("foo [t] he", detect=english) == "foo the"
+    assert clean("x) [t] he [c] ase", detect=english, compat=True) == "x)thecase"
+    assert clean("\n<FRAGMENT_SUPPRESSED>\n(a) one;\n(b) two [sic]", detect=english) == "(a) one;\n(b) two "
+    assert clean(None) is None and clean("") == ""
 
 
 def test_language_state():
     lines = {"f": "fr", "e": "en", "x": "de", "u": None}
-    assert C._english_lines("f\nx\ne\nx\nu", lines.get) == "\n\ne\nx\nu"
+    assert C.english_lines("f\nx\ne\nx\nu", lines.get) == "\n\ne\nx\nu"
 
 
 def test_context_and_chunks():
     t = "One is here. CITATION_SUPPRESSED starts this one. Two follows. Then a long one ends CITATION_SUPPRESSED. Last."
     assert C.marked_context(t) == "One is here. CITATION_SUPPRESSED starts this one. Then a long one ends CITATION_SUPPRESSED. Last."
     assert "".join(C.sentences(t)) == t
-    out = C.reference_context(t, "Lead one. Lead two.", least=512)
-    assert out.startswith("Lead one. Lead two.")
-    assert C.reference_context(t, "Lead one. Lead two.", least=512, compat=True).startswith("Lead one. One")
+    assert C.with_lead(t, "Lead one. Lead two.", 512, False).startswith("Lead one. Lead two.One is")
+    assert C.with_lead(t, "Lead one. Lead two.", 512, True).startswith("Lead one. One")
+    assert C.with_lead("a b c d", "Lead one. Lead two.", 7, False) == "Lead one. a b c d" and C.with_lead("a b", "Lead one.", 2, False) == "a b"
     assert C.token_chunks("Aa bb. Cc dd ee ff gg hh. Ii", 4, 2) == ["Aa bb.", "Cc dd ee ff"]
     assert C.token_chunks(None, 4) == [""] and C.token_chunks("Mr. Smith v. Jones went", 4, 1) == ["Mr. Smith v"]
     assert not C.is_sentence_end("by J. Smith", 5, 6) and C.is_sentence_end("end. Next", 4, 5) and not C.is_sentence_end("the U.S. court", 8, 9)

@@ -308,3 +308,30 @@ def test_pipelines(spark, tmp_path):
     assert result.evaluated.count() == 140 and result.selected.count() > 0
     ltr = pipelines.learn_to_rank(frame, frame, frame, ["rank_score"])
     assert ltr["metrics"].first().tp >= 0 and ltr["test"].count() == 120
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_positions_of_wide_rows(spark, adaptive):
+    """Positions are exact whatever columns travel along, in many partitions, with and without adaptive plans."""
+    df = spark.range(0, 60_000, 1, 8).select(F.md5(F.col("id").cast("string")).alias("h"), F.repeat(F.lit("x"), 60).alias("payload"), "id")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        out = ranking.positions_of(df, [F.col("h")])
+        row = out.agg(F.count("payload").alias("n"), F.countDistinct("pos").alias("d"), F.min("pos").alias("a"), F.max("pos").alias("b")).first()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert (row.n, row.d, row.a, row.b) == (60_000, 60_000, 0, 59_999)
+
+
+def test_ids_of_several_sources(spark, rows):
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "query_id string")
+    assert rows(ranking.sorted_union(one("b", None, "a"), one("c", "a"), "query_id")) == [(0, "a"), (1, "b"), (2, "c")]
+    assert rows(ranking.split_selection(one("a", "b"), one("b", "x"))) == [("b",)]
+    assert rows(ranking.split_selection(one("a", "b"), one("b").limit(0))) == rows(ranking.split_selection(one("a", "b"), None)) == [("a",), ("b",)]
+    held = spark.createDataFrame([("7", "x", 0), ("000008.txt", "y", 0), ("9", "z", 0), ("000009", "w", 0)], "query_id string, candidate_id string, pos int")
+    assert rows(scope.scope_of_queries(one("000007", "000008", "000009", "5", None), held)) == [("000007", "x", 0), ("000008", "y", 0), ("000009", "w", 0)]
+    existing = spark.createDataFrame([("x",), ("z",)], "candidate_id string")
+    assert rows(ranking.candidate_override(held, one("7", "9", "000009"), existing)) == [(0, "x"), (1, "z")]

@@ -44,6 +44,8 @@ def test_runs(spark, rows, tmp_path):
     p = put(tmp_path / "run.trec", "1 Q0 1 1 9.0 t\n1 Q0 2 3 8.5 t\nbad line\n1 Q0 3.txt 2 8.0 t\n1 Q0 4 4 7.0 t\n2 Q0 5 1 1e-3 t\n")
     run = files.read_run(spark, p)
     assert run.count() == 5
+    seven = put(tmp_path / "seven.trec", "1 Q0 2 1 9.0 t\n1 Q0 3 2 8.0 t more\n")
+    assert files.read_run(spark, seven).count() == 2 and files.read_run(spark, seven, exact=True).count() == 1
     assert rows(files.run_top_k(run, 2), "query_id", "candidate_id") == [(1, 2), (1, 3), (2, 5)]
     assert rows(files.run_by_rank(run, 2), "query_id", "candidate_id") == [("000001", "000001"), ("000001", "03.txt"), ("000002", "000005")]
     out = str(tmp_path / "out")
@@ -64,14 +66,22 @@ def test_relations(spark, rows, tmp_path):
     assert rows(files.labels_of(labels, spark.createDataFrame([("12",)], "query_id string"))) == [(12, 3), (12, 4)]
     with pytest.raises(ValueError):
         files.read_relation(spark, put(tmp_path / "list.json", "[1]"))
-    sinks.write_relation(files.read_relation(spark, p), str(tmp_path / "scope"))
-    assert json.loads(spark.read.text(str(tmp_path / "scope")).first()[0]) == {"query_id": "000012", "candidates": ["000003", "000004"]}
+    relation = spark.createDataFrame([(f"{q:06}", f"{c:06}", 9 - c) for q in range(40) for c in range(q % 5)] + [('a"b', "c\\d", 0)], "query_id string, candidate_id string, pos int")
+    for name, single in (("scope", False), ("one", True)):
+        sinks.write_relation(relation, str(tmp_path / name), single)
+        again = files.read_relation(spark, str(tmp_path / name), "none")
+        assert rows(again, "query_id", "candidate_id") == rows(relation, "query_id", "candidate_id")
+        assert [r.candidate_id for r in again.where("query_id = '000004'").orderBy("pos").collect()] == ["000003", "000002", "000001", "000000"]
+    assert json.loads(spark.read.text(str(tmp_path / "one"), wholetext=True).first()[0])["000003"] == ["000002", "000001", "000000"]
+    sinks.write_relation(relation.limit(0), str(tmp_path / "none"))
+    assert rows(files.read_relation(spark, put(tmp_path / "x.json", json.dumps({"1.txt": ["2.txtx"]})), "label")) == [("1", "2x", 0)]
 
 
 def test_nested_json(spark, tmp_path):
     sample = {"qry": {"qid": "1", "query": "q"}, "pos": [{"pid": "2", "passage": "p"}], "neg": []}
     assert files.read_grouped(spark, put(tmp_path / "g.json", json.dumps([sample]))).first().pos[0].pid == "2"
     assert files.read_prediction_pairs(spark, put(tmp_path / "p.json", json.dumps([{"qid": "1", "pid": "2", "qry": "a", "psg": "b"}]))).count() == 1
+    assert files.read_prompts(spark, put(tmp_path / "s.jsonl", "".join(f'{{"prompt": "a{i}", "label": "b"}}\n' for i in range(9))), n=4).distinct().count() == 4
     assert files.read_prompts(spark, put(tmp_path / "t.jsonl", '{"prompt": "a", "label": "b"}\n')).first().text == "ab"
     put(tmp_path / "m/checkpoint-5/trainer_state.json", json.dumps({"global_step": 5, "log_history": [{"step": 5, "f1": 0.5}]}))
     put(tmp_path / "m/checkpoint-6/trainer_state.json", "broken")
@@ -87,6 +97,8 @@ def test_tables(spark, rows, tmp_path):
         files.read_predictions(spark, put(tmp_path / "x.csv", "a,b\n1,2\n"))
     train, test = files.split_corpus(spark.createDataFrame([(f"t{i}",) for i in range(1000)], "text string"), 0.1)
     assert train.count() + test.count() == 1000 and 50 < test.count() < 160
+    train, test = files.split_corpus(spark.createDataFrame([(f"t{i}",) for i in range(300)], "text string"), 0.1, shuffle=True)
+    assert [r.pos for r in train.orderBy("pos").collect()] == list(range(train.count())) and [r.text for r in train.orderBy("pos").limit(3).collect()] != ["t0", "t1", "t2"]
 
 
 def test_sinks(spark, rows, tmp_path):
@@ -100,6 +112,10 @@ def test_sinks(spark, rows, tmp_path):
         sinks.append_result(row, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
     ranked = spark.createDataFrame([("q", "b", 1.0, 2), ("q", "a", 2.0, 1)], "query_id string, candidate_id string, score double, rank int")
+    small = spark.createDataFrame([("q", "b", 1e-05, 2), ("q", "a", 0.0001, 1), ("q", "c", 1e16, 3)], "query_id string, candidate_id string, score double, rank int")
+    assert rows(sinks.run_lines(small, "t")) == [("q Q0 a 1 0.0001 t",), ("q Q0 b 2 1e-05 t",), ("q Q0 c 3 1e+16 t",)]
+    years = spark.createDataFrame([("1", 2000, "b", 1), ("1", 1990, "a", 2), ("2", -1, "missing", 3)], "case_id string, year int, year_source string, pos int")
+    assert rows(sinks.year_log(years)) == [("1", 2000, "b"), ("2", -1, "missing")]
     assert sinks.candidates_by_rank(ranked).first().candidates == ["a", "b"]
     assert rows(sinks.entailment_lines(ranked)) == [("q a 2.0 1",), ("q b 1.0 2",)]
 
