@@ -91,6 +91,8 @@ def current_rows(df: DataFrame, key: str, order: str, payload: list[str]) -> Dat
     the payload counts (equal rows are one). Only keys with several rows are shuffled: their latest ``order`` comes
     from the two narrow columns and is broadcast under the session's limit, or joined by shuffle beyond it.
     """
+    if not payload:
+        return df.where(F.col(key).isNotNull()).select(key).distinct()
     df = df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, order, *payload]))  # other columns can't clash
     many = (
         df.groupBy(F.col(key).alias("_key"))

@@ -24,9 +24,14 @@ def flag(value: str | None, default: bool = False, strict: bool = False) -> bool
 
 def read_key_file(path: str | Path, known: Mapping[str, str] | None = None) -> dict[str, str]:
     """NAME=value lines; "export " and one pair of quotes are dropped, comments skipped, and known names win."""
-    out: dict[str, str] = {}
     file = Path(path)
-    for line in file.read_text(encoding="utf-8").splitlines() if file.exists() else ():
+    return parse_keys(file.read_text(encoding="utf-8") if file.exists() else "") | dict(known or {})
+
+
+def parse_keys(text: str) -> dict[str, str]:
+    """The first value of each name of NAME=value lines."""
+    out: dict[str, str] = {}
+    for line in text.splitlines():
         bare = line.strip().removeprefix("export ").strip()
         name, eq, value = bare.partition("=")
         if not eq or bare.startswith("#"):
@@ -35,7 +40,7 @@ def read_key_file(path: str | Path, known: Mapping[str, str] | None = None) -> d
         if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
             value = value[1:-1]
         out.setdefault(name.strip(), value)
-    return out | dict(known or {})
+    return out
 
 
 def numbers(text: str, kind: type = int) -> tuple:

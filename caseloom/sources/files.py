@@ -27,9 +27,18 @@ STATE = "global_step long, log_history array<map<string,string>>"
 
 def read_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """(case_id, text): one row for each file with the suffix; the id is the stem, the text is stripped."""
-    files = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
     stem = F.regexp_replace(F.col("_metadata.file_name"), re.escape(suffix) + "$", "")
-    return files.select(F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("case_id"), stripped(F.col("value")).alias("text"))
+    texts = files.select(F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("case_id"), stripped(F.col("content").cast("string")).alias("text"))
+    empty = [(name.removesuffix(suffix), "") for name in _empty_files(spark, path) if name.endswith(suffix)]
+    return texts.union(spark.createDataFrame(empty, "case_id string, text string")) if empty else texts
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files without a byte, which Spark's readers pass over; only names reach the driver, as in any listing."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return [f.getPath().getName() for f in listed if f.isFile() and f.getLen() == 0]
 
 
 def texts_of(texts: DataFrame, wanted: DataFrame, key: str = "case_id") -> DataFrame:
@@ -48,7 +57,7 @@ def missing_texts(texts: DataFrame, wanted: DataFrame, key: str = "case_id") ->
 
 def read_paragraph_tree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Cases (query_id, text) and paragraphs (query_id, par_id, text) of a tree <case>/entailed_fragment.txt, <case>/paragraphs/<par>.txt."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "value")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select(F.col("_metadata.file_path").alias("p"), F.col("content").cast("string").alias("value"))
     heads = files.where(F.col("p").rlike("/entailed_fragment\\.txt$")).select(F.regexp_extract("p", r"([^/]+)/entailed_fragment\.txt$", 1).alias("query_id"), stripped(F.col("value")).alias("text"))
     pars = files.where(F.col("p").rlike("/paragraphs/[^/]+\\.txt$"))
     return heads, pars.select(F.regexp_extract("p", r"([^/]+)/paragraphs/[^/]+$", 1).alias("query_id"), F.regexp_extract("p", r"/([^/]+)\.txt$", 1).alias("par_id"), stripped(F.col("value")).alias("text"))

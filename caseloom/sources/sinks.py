@@ -70,18 +70,22 @@ def relation_json(relation: DataFrame, position: str = "pos") -> DataFrame:
 def write_relation(relation: DataFrame, path: str, single: bool = False, position: str = "pos") -> None:
     """Files of one JSON object each, {"query": [candidates], ...}, queries in order; ``read_relation`` reads the folder."""
     lines = _in_order(relation_json(relation, position), single, "query_id")
+    _framed(lines.select("value"), "{", "}").write.mode("overwrite").text(path)
+
+
+def _framed(lines: DataFrame, opening: str, closing: str) -> DataFrame:
+    """(value): the lines of each partition that has any, with commas between and the brackets around them."""
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = "{"
+        before = opening
         for batch in batches:
-            values = batch.column(1).to_pylist()
-            if values:
-                yield pa.RecordBatch.from_arrays([pa.array([before + ",\n".join(values)])], ["value"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([before + ",\n".join(batch.column(0).to_pylist())])], ["value"])
                 before = ","
         if before == ",":
-            yield pa.RecordBatch.from_arrays([pa.array(["}"])], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([closing])], ["value"])
 
-    lines.mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+    return lines.mapInArrow(framed, "value string")
 
 
 def write_candidates(run: DataFrame, path: str, rank: str = "rank") -> None:
@@ -129,7 +133,8 @@ def year_log(features: DataFrame, position: str = "pos") -> DataFrame:
 
 
 def write_samples(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Files of one JSON array each, one object for each row; Spark reads the folder with ``multiLine``."""
+    _framed(df.select(F.to_json(F.struct("*")).alias("value")), "[", "]").write.mode("overwrite").text(path)
 
 
 def rerank_lines(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from caseloom.plans import catalog
+from caseloom.plans import catalog, catalog_sources, catalog_steps  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")

@@ -17,8 +17,9 @@ def test_texts(spark, rows, tmp_path):
     put(tmp_path / "t/000012.txt", " é text \n")
     put(tmp_path / "t/abc.txt", "x")
     put(tmp_path / "t/skip.md", "x")
+    put(tmp_path / "t/none.txt", "")
     texts = files.read_texts(spark, str(tmp_path / "t"))
-    assert rows(texts) == [("000012", "é text"), ("abc", "x")]
+    assert rows(texts) == [("000012", "é text"), ("abc", "x"), ("none", "")]
     wanted = spark.createDataFrame([("12",), ("abc",), ("9",)], "case_id string")
     assert rows(files.texts_of(texts, wanted)) == [("12", "é text"), ("9", ""), ("abc", "x")]
     assert rows(files.missing_texts(texts, wanted)) == [("9",)]
