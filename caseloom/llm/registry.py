@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from caseloom.llm import queries_cases as cases
 from caseloom.llm import queries_documents as documents
 from caseloom.llm import queries_vectors as vectors
+from caseloom.llm.oracle import ORACLE as ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: getattr(module, name)
@@ -19,21 +20,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
     for name in names
 }
-
-#: Where SQL over whole tables is too slow or can't say it, there is none; tests compare with brute force.
-_TOP = """
-WITH latest AS (
-  SELECT query_id, candidate_id, dense_score,
-         row_number() OVER (PARTITION BY query_id, candidate_id ORDER BY scored_at DESC NULLS LAST,
-                            CASE WHEN isnan(dense_score) THEN NULL ELSE dense_score END DESC NULLS LAST) AS version
-  FROM ltr_features WHERE query_id IS NOT NULL AND candidate_id IS NOT NULL),
-ranked AS (
-  SELECT query_id, candidate_id, dense_score,
-         row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, candidate_id) AS rank
-  FROM latest WHERE version = 1 AND dense_score IS NOT NULL AND NOT isnan(dense_score) AND query_id <> candidate_id)
-SELECT {} FROM ranked WHERE rank <= 10
-"""
-ORACLE: dict[str, str] = {
-    "p5_found": _TOP.format("query_id, candidate_id"),
-    "p5_top": _TOP.format("query_id, candidate_id, dense_score::DOUBLE AS dense_score, rank::INT AS rank"),
-}
