@@ -23,6 +23,8 @@ NEUTRAL_CITATIONS = (
     r"\b(18\d{2}|19\d{2}|20\d{2}|2100)\s+(?:FC|FCA|SCC|QCCA|BCCA|ONCA|ABCA|SKCA|MBCA|NBCA|NSCA|PECA|CanLII)\b",
     r"\((?:[^\n\)]*?;\s*)?(18\d{2}|19\d{2}|20\d{2}|2100)\s+[A-Z]{2,10}\s+\d+\)",
 )
+DATE_KEYS = ("date", "date_of_judgment", "judgment_rendered", "judgment rendered", "released", "hearing_date", "heard", "decision_date", "judgment_date")
+DATE_KEY_PARTS = ("judgment", "released", "decision_date", "hearing")
 HEADER_LINES, FRONT_CHARS = 120, 12_000
 #: White space as Python knows it: Unicode's, and the four separators.
 SPACE = r"(?U)[\s\x1C-\x1F]"
@@ -73,22 +75,32 @@ def header(c: Column) -> Column:
     return F.array_join(F.slice(F.split(or_empty(c), LINE_BREAK), 1, HEADER_LINES), "\n")
 
 
-def case_year(c: Column) -> Column:
-    """struct(year, source): the year of a case by priority.
+def metadata_year(metadata: Column) -> Column:
+    """struct(year, source) of the first entry of a map whose name is that of a date and whose value holds a year (its largest); null without any."""
+    name = lambda e: F.replace(F.lower(stripped(e["key"])), F.lit("-"), F.lit("_"))
+    dated = lambda e: name(e).isin(*DATE_KEYS) | name(e).rlike("|".join(DATE_KEY_PARTS))
+    found = F.transform(F.filter(F.map_entries(metadata), dated), lambda e: F.struct(F.array_max(years(e["value"])).alias("year"), F.concat(F.lit("metadata:"), e["key"]).alias("source")))
+    return F.get(F.filter(found, lambda x: x["year"].isNotNull()), F.lit(0))
 
-    Date lines of the header, then neutral citations there, then the most frequent year of the front of the text (the
+
+def case_year(c: Column, metadata: Column | None = None, patterns: bool = False) -> Column:
+    """struct(year, source): the year of a case by priority. With ``patterns`` the source of the first two tiers of the text ends in ":" and the pattern.
+
+    Dates of the metadata (a map of strings) if given. Date lines of the header, then neutral citations there, then the most frequent year of the front of the text (the
     larger of equally frequent ones), then the largest year anywhere; -1 and "missing" without any.
     """
     top = header(c)
-    explicit = F.coalesce(*[_first_year(top, p, 1) for p in DATE_LINES])
-    neutral = F.coalesce(*[_first_year(top, p, 0) for p in NEUTRAL_CITATIONS])
+    explicit = [("header_explicit", p, _first_year(top, p, 1)) for p in DATE_LINES]
+    neutral = [("neutral_citation", p, _first_year(top, p, 0)) for p in NEUTRAL_CITATIONS]
     front = years(F.substring(or_empty(c), 1, FRONT_CHARS))
     counted = F.transform(F.array_distinct(front), lambda y: F.struct(F.size(F.filter(front, lambda x: x == y)).alias("n"), y.alias("y")))
     mode = F.array_max(counted)["y"]
     anywhere = F.array_max(years(c))
-    tiers = (("header_explicit", explicit), ("neutral_citation", neutral), ("front_regex", mode), ("fallback_global_max", anywhere))
+    shown = lambda tier, p: f"{tier}:{p.replace('(?imd)', '(?im)')}" if patterns else tier
+    tiers = (*((shown(tier, p), y) for tier, p, y in (*explicit, *neutral)), ("front_regex", mode), ("fallback_global_max", anywhere))
     pick = [F.when(y.isNotNull(), F.struct(y.alias("year"), F.lit(source).alias("source"))) for source, y in tiers]
-    return F.coalesce(*pick, F.struct(F.lit(-1).alias("year"), F.lit("missing").alias("source")))
+    given = [] if metadata is None else [metadata_year(metadata)]
+    return F.coalesce(*given, *pick, F.struct(F.lit(-1).alias("year"), F.lit("missing").alias("source")))
 
 
 def summary(c: Column) -> Column:

@@ -71,9 +71,12 @@ def rankings(predictions: DataFrame, depth: int, score: str = "rank_score", labe
     """
     order = Window.partitionBy("query_id").orderBy(F.col(score).cast("float").desc_nulls_last(), "candidate_id")
     relevant = F.coalesce(F.col(label).cast("long"), F.lit(0))
-    ranked = predictions.select("query_id", F.col(score).cast("float").alias("s"), relevant.alias("y"), F.row_number().over(order).alias("r"))
-    first = F.sort_array(F.collect_list(F.when(F.col("r") <= depth, F.struct("r", "s", "y"))))
-    out = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"), first.alias("f"))
+    # counts come from a plain aggregate; only the first ranks, limited before the shuffle, are sorted, so a hot query costs no more
+    counts = predictions.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(relevant).alias("total"))
+    ranked = predictions.select("query_id", F.col(score).cast("float").alias("s"), relevant.alias("y"), F.row_number().over(order).alias("r")).where(F.col("r") <= depth)
+    listed = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("r", "s", "y"))).alias("f"))
+    nothing = F.array().cast("array<struct<r:int,s:float,y:bigint>>")
+    out = counts.join(listed, "query_id", "left").withColumn("f", F.coalesce("f", nothing))
     gains = F.transform("f", lambda x: x["y"])
     hits = F.transform(gains, lambda y, i: F.aggregate(F.slice(gains, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, v: s + v))
     out = out.select("query_id", "n", "total", F.transform("f", lambda x: x["s"]).alias("scores"), gains.alias("gains"), hits.alias("hits"))
@@ -184,8 +187,9 @@ def best_mode(best: DataFrame) -> DataFrame:
 def select_rows(predictions: DataFrame, setting: Setting, score: str = "rank_score", label: str = "label") -> DataFrame:
     """Rows kept under a setting, with cutoff_k and selected_rank."""
     order = Window.partitionBy("query_id").orderBy(F.col(score).cast("float").desc_nulls_last(), "candidate_id")
-    ks = rankings(predictions, depth_of([setting]), score, label).select("query_id", cutoff_k(setting).alias("cutoff_k"))
-    ranked = predictions.withColumn("selected_rank", F.row_number().over(order)).join(ks, "query_id")
+    depth = depth_of([setting])  # no setting keeps more
+    ks = rankings(predictions, depth, score, label).select("query_id", cutoff_k(setting).alias("cutoff_k"))
+    ranked = predictions.withColumn("selected_rank", F.row_number().over(order)).where(F.col("selected_rank") <= depth).join(ks, "query_id")
     return ranked.where(F.col("selected_rank") <= F.col("cutoff_k"))
 
 

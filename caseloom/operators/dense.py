@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.vectors import EPS, similarity
@@ -14,6 +14,8 @@ from caseloom.plans.tables import ship, written
 
 #: Queries in one block: a block of 64 wide vectors is half a megabyte.
 BLOCK = 2_000
+#: Candidates of one part, about, where there are several blocks.
+PART = 50_000
 
 
 def pair_similarity(pairs: DataFrame, queries: DataFrame, candidates: DataFrame, metric: str = "dot", name: str = "score", default: float | None = None) -> DataFrame:
@@ -36,43 +38,58 @@ def _matrix(rows: list[list[float]], width: int) -> tuple[np.ndarray, np.ndarray
 def top_similar(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "dot", exclude_self: bool = True, decimals: int = 9) -> DataFrame:
     """(query_id, candidate_id, score, rank): the k best candidates of each query; ties go to the smaller candidate.
 
-    queries: query_id, embedding; candidates: candidate_id, embedding; null vectors and those of another width than the
-    first query's take no part. Queries are cut into blocks of BLOCK vectors; each block is shared with all tasks, meets
-    every partition of the candidates in one matrix product, and leaves k rows a query and partition.
+    queries: query_id, embedding; candidates: candidate_id, embedding; null vectors and those of another width than most
+    queries' take no part. Up to BLOCK queries are shared with all tasks and meet each partition of the candidates in one
+    matrix product. More are dealt to blocks, the candidates to parts, and each block meets each part in a task of its own; nothing
+    but one block ever reaches the driver. Either way k rows a query and partition are left to be ranked.
     """
     similarity(metric)
     spark = queries.sparkSession
     ship(spark)
     usable = written(queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")), "query-vectors")
     candidates = candidates.where(F.col("embedding").isNotNull()).select(F.col("candidate_id").cast("string").alias("candidate_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    n = usable.count()
-    blocks = -(-n // BLOCK)
-    parts = []
-    for block in range(blocks):
-        share = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = share.collect()  # about BLOCK vectors
-        if rows:
-            parts.append(candidates.mapInArrow(_score_block(spark.sparkContext.broadcast(_block(rows, metric)), k, metric, exclude_self, decimals), "query_id string, candidate_id string, score double"))
-    if not parts:
+    widths = usable.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
+    if not widths:
         return spark.createDataFrame([], "query_id string, candidate_id string, score double, rank int")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    usable, kinds = usable.where(F.size("embedding") == widths[0].w), "query_id string, candidate_id string, score double"
+    if (n := usable.count()) <= BLOCK:
+        shared = spark.sparkContext.broadcast(_block(usable.collect(), metric))  # BLOCK vectors at most
+        out = candidates.mapInArrow(_score_block(lambda: shared.value, k, metric, exclude_self, decimals), kinds)
+    else:
+        blocks, parts = -(-n // BLOCK), max(1, -(-candidates.count() // PART))
+        dealt = lambda df, key, own, all_of: df.select(
+            *df.columns, F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(all_of - 1))).alias("_other")
+        )
+        q = dealt(usable, "query_id", blocks, parts).withColumnsRenamed({"_own": "_b", "_other": "_p"})
+        c = dealt(candidates, "candidate_id", parts, blocks).withColumnsRenamed({"_own": "_p", "_other": "_b"})
+        out = q.groupBy("_b", "_p").cogroup(c.groupBy("_b", "_p")).applyInArrow(_meet(k, metric, exclude_self, decimals), kinds)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _block(rows: list, metric: str) -> tuple[list[str], np.ndarray]:
-    width = len(rows[0].embedding)
-    q, kept = _matrix([r.embedding for r in rows], width)
+    q = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
     if metric == "cos":
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), EPS)
-    return [rows[i].query_id for i in kept], q
+    return [r.query_id for r in rows], q
+
+
+def _meet(k: int, metric: str, exclude_self: bool, decimals: int):
+    def meet(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        """The best k of one part of the candidates for each query of one block."""
+        none = pa.schema([("query_id", pa.string()), ("candidate_id", pa.string()), ("score", pa.float64())])
+        if not queries.num_rows or not candidates.num_rows:
+            return none.empty_table()
+        block = _block([Row(query_id=a, embedding=b) for a, b in zip(queries.column("query_id").to_pylist(), queries.column("embedding").to_pylist())], metric)
+        batches = candidates.select(["candidate_id", "embedding"]).to_batches(max_chunksize=4096)
+        return pa.Table.from_batches(list(_score_block(lambda: block, k, metric, exclude_self, decimals)(iter(batches))), none)
+
+    return meet
 
 
-def _score_block(shared, k: int, metric: str, exclude_self: bool, decimals: int):
+def _score_block(get, k: int, metric: str, exclude_self: bool, decimals: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        ids, q = get()
         own = {c: i for i, c in enumerate(ids)}
         best: list[list[tuple[float, str]]] = [[] for _ in ids]
         for batch in batches:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,12 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
+    """A fresh path in the shared folder, deleted when the driver ends or by ``discard``."""
     path = f"{shared_dir(spark)}/caseloom-{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_delete, spark, path)
+    if not _WRITTEN:
+        atexit.register(lambda: discard(spark))
+    _WRITTEN.append(path)
     return path
 
 
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables written in this session from the ``since``-th on; for long sessions, once their results are used.
+
+    ``len(written_paths())`` before a query says where its own begin.
+    """
+    while len(_WRITTEN) > since:
+        _delete(spark, _WRITTEN.pop())
+
+
+def written_paths() -> tuple[str, ...]:
+    return tuple(_WRITTEN)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

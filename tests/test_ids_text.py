@@ -65,6 +65,12 @@ def test_vectors(spark):
     assert [tuple(r) for r in df.select(vectors.dot("a", "b"), F.round(vectors.cosine("a", "b"), 6)).collect()] == [(24.0, 0.96), (0.0, 0.0)]
 
 
+def test_year_of_metadata(spark):
+    df = spark.createDataFrame([("Date: 1999", {"court": "2001", "Decision-Date": "no", "HEARING day": "2003 and 2005"}), ("Date: 1999", {"court": "2001"}), ("x", None)], "t string, m map<string,string>")
+    out = [tuple(r.y) for r in df.select(text.case_year(F.col("t"), F.col("m"), patterns=True).alias("y")).collect()]
+    assert out == [(2005, "metadata:HEARING day"), (1999, "header_explicit:" + r"(?im)^\s*Date\s*:\s*(.+)$"), (-1, "missing")]
+
+
 def test_cleaner(spark):
     def clean(text, **options):
         df = spark.createDataFrame([(text,)], "raw string")

@@ -335,3 +335,29 @@ def test_ids_of_several_sources(spark, rows):
     assert rows(scope.scope_of_queries(one("000007", "000008", "000009", "5", None), held)) == [("000007", "x", 0), ("000008", "y", 0), ("000009", "w", 0)]
     existing = spark.createDataFrame([("x",), ("z",)], "candidate_id string")
     assert rows(ranking.candidate_override(held, one("7", "9", "000009"), existing)) == [(0, "x"), (1, "z")]
+
+
+@pytest.mark.parametrize("metric", ["dot", "cos"])
+def test_many_queries_in_blocks(spark, rows, monkeypatch, metric):
+    """Blocks of queries against parts of candidates give what one block does, copies and ties included."""
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(90, 4)), 1)
+    v[5] = v[6] = v[7]
+    df = spark.createDataFrame([(f"{i:02}", x.tolist()) for i, x in enumerate(v)] + [("n", None), ("w", [1.0])], "query_id string, embedding array<double>")
+    theirs = df.withColumnRenamed("query_id", "candidate_id")
+    one = rows(dense.top_similar(df, theirs, 3, metric))
+    monkeypatch.setattr(dense, "BLOCK", 20)
+    monkeypatch.setattr(dense, "PART", 25)
+    assert rows(dense.top_similar(df, theirs, 3, metric)) == one and len(one) == 270
+
+
+def test_written_tables_can_be_discarded(spark):
+    from caseloom.plans.tables import discard, written, written_paths
+
+    before = len(written_paths())
+    table = written(spark.range(3), "x")
+    assert table.count() == 3
+    discard(spark, before)
+    assert len(written_paths()) == before
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()
