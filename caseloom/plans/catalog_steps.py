@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions import text
-from caseloom.operators import cleaning, cutoff, features, lexical, metrics, models, ranking, sampling, scope, statistics
+from caseloom.operators import cleaning, dense, features, lexical, metrics, models, ranking, sampling, scope, statistics
 from caseloom.plans import pipelines
-from caseloom.plans.catalog import _DRAW, _PRF, _WS, _pad, _rounded, _run, _strip, cases, predictions, qrels, query, r6, vectors, year_scope
+from caseloom.plans.catalog import _DRAW, _PRF, _TOKENS, _WS, _bm25_sql, _lexical_sql, _pad, _rounded, _run, _strip, cases, predictions, qrels, query, r6, vectors, year_scope
 from caseloom.plans.tables import table
 
 # --- metrics -----------------------------------------------------------------------------------------------------
@@ -226,6 +226,59 @@ def dense_missing_queries(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.dense_retrieval(held, qrels(spark, d)).missing_queries
 
 
+# --- searches by cases -------------------------------------------------------------------------------------------
+
+_TWENTIETH = "try_cast({} AS BIGINT) % 20 = 0"
+
+
+@query(
+    f"""SELECT query_id, candidate_id, round(s, 6) AS score, rk::INT AS rank FROM (SELECT a.case_id AS query_id, b.case_id AS candidate_id, round(list_inner_product(a.v, b.v), 9) AS s,
+    row_number() OVER (PARTITION BY a.case_id ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.case_id) AS rk FROM vec a JOIN vec b ON a.case_id <> b.case_id WHERE {_TWENTIETH.format('a.case_id')}) WHERE rk <= 5""",
+    "vec",
+)
+def dense_cases_top5(spark: SparkSession, d: str) -> DataFrame:
+    """Every case whose id is divisible by 20, against all cases."""
+    asked = vectors(spark, d, "query_id").where(F.expr(_TWENTIETH.format("query_id")))
+    return dense.top_similar(asked, vectors(spark, d, "candidate_id"), 5, "dot").withColumn("score", F.round("score", 6))
+
+
+@query(_lexical_sql(_bm25_sql(3.0, 1.0)).replace(f"""{_TOKENS.format('"text"')} AS t FROM query_topics""", f"{_TOKENS.format('clean_text')} AS t FROM (SELECT case_id AS query_id, clean_text FROM cases WHERE {_TWENTIETH.format('case_id')})"), "cases")
+def bm25_cases_top10(spark: SparkSession, d: str) -> DataFrame:
+    """Every case whose id is divisible by 20, by its whole text, against all cases."""
+    docs = cases(spark, d, "clean_text")
+    index = lexical.build_index(docs, "case_id", "clean_text")
+    asked = docs.where(F.expr(_TWENTIETH.format("case_id")))
+    return lexical.lexical_search(index, lexical.query_terms(asked.withColumnRenamed("case_id", "query_id"), "query_id", "clean_text"), lexical.bm25(index, 3.0, 1.0), 10, decimals=6)
+
+
+# --- the whole feature frame -------------------------------------------------------------------------------------
+
+_SIDES = ", ".join(f"coalesce({a}.{c}, 0) AS {side}_{name}_num" for a, side in (("a", "query"), ("b", "doc")) for c, name in (("c", "citation"), ("r", "reference"), ("g", "fragment")))
+_RATIOS = ", ".join(f"{side}_{name}_num::FLOAT / greatest({side}_length, 1)::FLOAT AS {side}_{name}_ratio" for side in ("query", "doc") for name in ("citation", "reference", "fragment"))
+
+
+@query(
+    f"""WITH f AS (SELECT case_id, year, len({_TOKENS.format("clean_text")}) AS length, citation_num AS c, reference_num AS r, fragment_num AS g FROM cases),
+    j AS (SELECT p.query_id, p.candidate_id, coalesce(CASE WHEN isnan(p.dense_score) THEN 0 ELSE p.dense_score END, 0)::FLOAT AS dense_score, coalesce(p.bm25_score, 0)::FLOAT AS bm25_score, coalesce(p.qld_score, 0)::FLOAT AS qld_score, coalesce(p.bm25_ngram_score, 0)::FLOAT AS bm25_ngram_score,
+    coalesce(a.length, 0)::INT AS query_length, coalesce(b.length, 0)::INT AS doc_length, {_SIDES}, coalesce(a.year, -1) AS query_year, coalesce(b.year, -1) AS doc_year FROM pred p LEFT JOIN f a ON a.case_id = p.query_id LEFT JOIN f b ON b.case_id = p.candidate_id)
+    SELECT *, {_RATIOS}, query_length::FLOAT / greatest(doc_length, 1)::FLOAT AS len_ratio, abs(query_length - doc_length)::INT AS len_diff, CASE WHEN query_year = -1 OR doc_year = -1 THEN 0 ELSE query_year - doc_year END AS year_diff,
+    row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, candidate_id)::INT AS bm25_rank, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, candidate_id)::INT AS dense_rank FROM j""",
+    "cases", "pred",
+)
+def ltr_features_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of the frame that its pairs and cases give."""
+    c = cases(spark, d, "clean_text", "year", *features.COUNTS)
+    attributes = c.select("case_id", "year", *features.COUNTS, lexical.analyzed_length(F.col("clean_text")).alias("length"))
+    return features.feature_frame(predictions(spark, d).select("query_id", "candidate_id", "bm25_score", "qld_score", "bm25_ngram_score", "dense_score"), attributes)
+
+
+@query("SELECT doc_id, CASE WHEN filed_at IS NOT NULL AND year(filed_at) BETWEEN 1800 AND 2100 THEN year(filed_at)::INT ELSE -1 END AS year, CASE WHEN filed_at IS NOT NULL AND year(filed_at) BETWEEN 1800 AND 2100 THEN 'metadata:Released-On' ELSE 'missing' END AS source FROM documents")
+def year_of_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The day of filing stands for metadata, before a text that has no year."""
+    entry = F.create_map(F.lit("docket"), F.coalesce("docket", F.lit("")), F.lit("Released-On"), F.coalesce(F.date_format("filed_at", "yyyy-MM-dd"), F.lit("")))
+    return table(spark, d, "documents").select("doc_id", text.case_year(F.lit("no year"), entry).alias("y")).select("doc_id", "y.year", "y.source")
+
+
 # --- whole runs --------------------------------------------------------------------------------------------------
 
 
