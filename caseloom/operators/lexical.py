@@ -6,6 +6,7 @@ lengths are exact, where the usual engine rounds them to a byte.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,21 +34,26 @@ def _units(words: DataFrame, n: int) -> DataFrame:
     return words.withColumn("_u", ngrams(F.col("_w"), n) if n > 1 else F.col("_w"))
 
 
-def build_index(docs: DataFrame, doc_id: str, text: str, n: int = 1, stopwords: tuple[str, ...] = ()) -> Index:
+def build_index(docs: DataFrame, doc_id: str, text: str, n: int = 1, stopwords: tuple[str, ...] = (), analyze: Callable[[Column], Column] | None = None) -> Index:
     """Index over words, or over runs of n words. Every document counts, also those without any word; null texts are empty.
+    ``analyze`` makes the words of a text; ``analyzer.english_tokens`` stems and drops stop words.
 
     Postings are written once and read by all scorers.
     """
-    listed = _units(docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text), stopwords).alias("_w")), n)
+    listed = _units(docs.select(F.col(doc_id).alias("doc_id"), _words(text, stopwords, analyze)), n)
     counted = listed.select("doc_id", F.size("_u").alias("dl"), F.explode("_u").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     postings = written(counted, "postings")
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     return Index(postings, terms, docs.count(), postings.agg(F.sum("tf")).first()[0] or 0)
 
 
-def query_terms(queries: DataFrame, query_id: str, text: str, n: int = 1, stopwords: tuple[str, ...] = ()) -> DataFrame:
+def _words(text: str, stopwords: tuple[str, ...], analyze: Callable[[Column], Column] | None) -> Column:
+    return (analyze(F.col(text)) if analyze else tokens(F.col(text), stopwords)).alias("_w")
+
+
+def query_terms(queries: DataFrame, query_id: str, text: str, n: int = 1, stopwords: tuple[str, ...] = (), analyze: Callable[[Column], Column] | None = None) -> DataFrame:
     """(query_id, term, qtf)"""
-    listed = _units(queries.select(F.col(query_id).alias("query_id"), tokens(F.col(text), stopwords).alias("_w")), n)
+    listed = _units(queries.select(F.col(query_id).alias("query_id"), _words(text, stopwords, analyze)), n)
     return listed.select("query_id", F.explode("_u").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 

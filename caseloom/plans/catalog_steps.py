@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions import text
+from caseloom.functions import analyzer, text
 from caseloom.operators import cleaning, dense, features, lexical, metrics, models, ranking, sampling, scope, statistics
 from caseloom.plans import pipelines
 from caseloom.plans.catalog import _DRAW, _PRF, _TOKENS, _WS, _bm25_sql, _lexical_sql, _pad, _rounded, _run, _strip, cases, predictions, qrels, query, r6, vectors, year_scope
@@ -295,3 +295,17 @@ def learned_ranks(spark: SparkSession, d: str) -> DataFrame:
     rows = predictions(spark, d).na.fill(0.0, ["qld_score", "dense_score"])
     labelled = rows.where("label is not null")
     return pipelines.learn_to_rank(labelled, labelled, rows, ["bm25_score", "qld_score", "dense_score"])["test"].select("query_id", "candidate_id", "rank_position")
+
+
+@query()
+def english_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths under the stemming analyzer; its stems have no SQL, tests compare them with known ones."""
+    return cases(spark, d, "clean_text").select("case_id", analyzer.english_length(F.col("clean_text")).alias("length"))
+
+
+@query()
+def bm25_english_top10(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over stems without stop words."""
+    index = lexical.build_index(cases(spark, d, "clean_text"), "case_id", "clean_text", analyze=analyzer.english_tokens)
+    terms = lexical.query_terms(table(spark, d, "query_topics"), "query_id", "text", analyze=analyzer.english_tokens)
+    return lexical.lexical_search(index, terms, lexical.bm25(index, 3.0, 1.0), 10, decimals=6)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from caseloom.functions import ids, text, vectors
+from caseloom.functions import analyzer, ids, text, vectors
 from caseloom.operators import cleaning as C
 
 
@@ -109,3 +109,16 @@ def test_cleaning_operators(spark, rows):
     chunks = C.chunk_texts(df, "case_id", "raw", max_tokens=6, special_tokens=2)
     assert rows(chunks.where("case_id = '2'")) == [("2", 0, "")] and chunks.where("case_id = '1'").count() == 2
     assert C.reference_contexts(df, "raw", "s").count() == 3
+
+
+def test_english_analyzer(spark):
+    known = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan
+    falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit radically radic vietnamization vietnam
+    predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formality formal sensitivity sensit triplicate triplic formative form formalize formal electrical electr
+    goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun
+    activate activ effective effect probate probat rate rate cease ceas controlling control roll roll as as"""
+    words = known.split()
+    assert [analyzer.stem(w) for w in words[::2]] == words[1::2]
+    assert analyzer.analyzed("The Court's ruling, at 3.14 o'clock: U.S. laws won't be not_here") == ["court", "rule", "3.14", "o'clock", "u.s", "law", "won't", "not_here"]
+    assert one(spark, analyzer.english_length, "The courts of appeal", None, "", "of the") == [2, 0, 0, 0]
+    assert one(spark, analyzer.english_tokens, "Appeals were allowed") == [["appeal", "were", "allow"]]
