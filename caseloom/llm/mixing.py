@@ -77,7 +77,7 @@ def mix_sources(df: DataFrame, key: str, source: str, size: str, weights: DataFr
 
     Report, one row for each row of weights: source, target_share, max_repeats, docs, source_size, target_size (of the
     mix), rounds, mixed_size, share_reached (of what the mix holds), short (target_share of the mix is more than
-    max_repeats times the source). Documents: key, source, repeats, for documents used at least once.
+    max_repeats times the source), left (of the budget, which is the target or what the source can fill). Documents: key, source, repeats, for documents used at least once.
 
     Sources compare trimmed and lower-cased; documents of null or unlisted sources count for the size only, as do those
     of size 0 or null. A source without documents reaches 0. Null shares and repeats count as 0. Keys should be unique:
@@ -117,6 +117,7 @@ def mix_sources(df: DataFrame, key: str, source: str, size: str, weights: DataFr
     report = mixed.select(
         "source", "target_share", "max_repeats", "docs", "source_size", "target_size", "rounds", "mixed_size",
         (F.col("mixed_size") / F.lit(whole) if whole else F.lit(0.0)).alias("share_reached"), "short",
+        (F.col("budget") - F.col("mixed_size")).alias("left"),
     )
     return report, _seeded(docs, plan, quota, seed).withColumnRenamed("k", key)
 

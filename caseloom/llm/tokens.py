@@ -52,6 +52,8 @@ class PairIndex:
         return found
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
+        if len(self.pairs) > REMEMBERED:
+            self.pairs.clear()
         symbol: list[int] = []
         starts = []
         after: list[int] = []

@@ -28,7 +28,7 @@ def test_mix(spark):
     report, mix = mix_sources(df, "doc_id", "source", "n", weights)
     r = {x.source: x for x in report.collect()}
     total = 50 * 10 + 20 * 7 + 20 + 160
-    assert r["a"].mixed_size == total // 2 and not r["a"].short
+    assert r["a"].mixed_size == total // 2 and not r["a"].short and r["a"].left == 0 == r["b"].left
     assert (r["b"].mixed_size, r["b"].rounds, r["b"].short) == (60, 3, True)
     assert r["c"].short and r["c"].mixed_size == 0 and not r["d"].short and not r["e"].short
     assert abs(sum(x.share_reached for x in r.values()) - 1) < 1e-9
