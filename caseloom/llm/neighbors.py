@@ -195,11 +195,9 @@ def most_similar(
         forest = df.sparkSession.sparkContext.broadcast(Forest(x, trees, depth, seed))
         tasks = max(16, math.ceil(n * (trees if only else probes) / TASK_ROWS))
         routed = spread(singles.select("id", "x", "q")).mapInArrow(_route(forest, width, probes, tasks), "task int, rows binary")
-        near = routed.groupBy("task").applyInArrow(_compare(width, k, least, leaf, seed), "a long, near array<struct<b: long, low: float, high: float>>")
-        # from each of its leaves a query has what may be among the k best there; what may be among the k best of all stays
-        listed = near.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        kth = F.coalesce(F.get(F.sort_array(F.transform("near", lambda c: c["low"]), asc=False), F.lit(k - 1)), F.lit(-2.0).cast("float"))
-        pairs = listed.select("a", F.explode(F.filter("near", lambda c: c["high"] >= kth)).alias("c")).select("a", F.col("c.b").alias("b"))
+        # from the leaves of each task a query has what may be among the k best there; of these, what may be among the k best of all stays
+        near = routed.groupBy("task").applyInArrow(_compare(width, k, least, leaf, seed, tasks), "bucket int, pairs binary")
+        pairs = near.groupBy("bucket").applyInArrow(_gathered(k), "a long, b long")
         exact = singles.select("id", "k", "x")
         both = pairs.join(exact.select(F.col("id").alias("a"), F.col("k").alias("ka"), F.col("x").alias("xa")), "a")
         both = both.join(exact.select(F.col("id").alias("b"), F.col("k").alias("kb"), F.col("x").alias("xb")), "b")
@@ -270,9 +268,41 @@ def _unpacked(blobs: list[bytes], width: int) -> list[np.ndarray]:
     return [*columns, q.reshape(-1, width)]
 
 
-def _compare(width: int, k: int, least: float, size: int, seed: int):
+_PAIR = (np.int64, np.int64, np.float32, np.float32)
+
+
+def _pruned(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Each (query, member) once, without those whose greatest cosine lies below the k-th least cosine of the query."""
+    order = np.lexsort((b, a))
+    a, b, low, high = a[order], b[order], low[order], high[order]
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    a, b, low, high = a[fresh], b[fresh], low[fresh], high[fresh]
+    order = np.lexsort((-low, a))
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
+    many = np.diff(np.r_[first, len(a)])
+    kth = np.where(many >= k, low[order[np.minimum(first + k - 1, max(0, len(a) - 1))]], -np.inf) if len(a) else np.zeros(0)
+    kept = high >= np.repeat(kth, many)
+    return a[kept], b[kept], low[kept], high[kept]
+
+
+def _gathered(k: int):
+    def gather(rows: pa.Table) -> pa.Table:
+        parts = []
+        for blob in rows.column("pairs").to_pylist():
+            n, at, part = len(blob) // 24, 0, []
+            for kind in _PAIR:
+                part.append(np.frombuffer(blob, kind, n, at))
+                at += part[-1].nbytes
+            parts.append(part)
+        a, b, _, _ = _pruned(*(np.concatenate(c) for c in zip(*parts)), k)
+        return pa.table({"a": a, "b": b})
+
+    return gather
+
+
+def _compare(width: int, k: int, least: float, size: int, seed: int, buckets: int):
     def compare(rows: pa.Table) -> pa.Table:
-        """For each query in each of the task's leaves: the members that may be among its k best there."""
+        """For each query in each of the task's leaves: the members that may be among its k best there, packed by bucket of the query."""
         leaf, ids, step, rest, flags, q = _unpacked(rows.column("rows").to_pylist(), width)
         order = np.argsort(leaf, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(leaf[order]) != 0])
@@ -296,15 +326,19 @@ def _compare(width: int, k: int, least: float, size: int, seed: int):
                 chosen = np.concatenate(own.leaves(vectors[some], INNER), axis=1)
                 for inner in np.unique(chosen[chosen >= 0]):
                     out.append(_best(ids, step, rest, q, at[some[(chosen == inner).any(axis=1)]], at[place[home == inner]], k, least))
-        a, b, low, high, n = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((),) * 5))
-        items = pa.StructArray.from_arrays([pa.array(b.astype(np.int64)), pa.array(low.astype(np.float32)), pa.array(high.astype(np.float32))], ["b", "low", "high"])
-        return pa.table({"a": pa.array(a.astype(np.int64)), "near": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), items)})
+        found = _pruned(*(np.concatenate(c).astype(kind) for c, kind in zip(zip(*out), _PAIR)), k) if out else tuple(np.zeros(0, kind) for kind in _PAIR)
+        bucket = found[0] % buckets
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else np.zeros(0, int)
+        groups = [order[a:b] for a, b in zip(cuts, np.r_[cuts[1:], len(order)])]
+        blobs = [b"".join(c[g].tobytes() for c in found) for g in groups]
+        return pa.table({"bucket": pa.array([int(bucket[g[0]]) for g in groups], pa.int32()), "pairs": pa.array(blobs, pa.binary())})
 
     return compare
 
 
 def _best(ids: np.ndarray, step: np.ndarray, rest: np.ndarray, q: np.ndarray, asks: np.ndarray, member: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...]:
-    """Queries that have one, their members that may be among the k best and reach ``least``, least and greatest cosine, and number for each query."""
+    """Queries and their members that may be among the k best and reach ``least``, with the least and greatest cosine of each."""
     found = []
     own = q[member].astype(np.float32).T
     for i in range(0, len(asks), 1024):
@@ -318,8 +352,7 @@ def _best(ids: np.ndarray, step: np.ndarray, rest: np.ndarray, q: np.ndarray, as
         r, c = np.nonzero((dots + slack >= np.maximum(floor, np.float32(least - 1e-6))) & (dots > -3))
         found.append((some[r], ids[member[c]], low[r, c], (dots + slack)[r, c]))
     asked, b, low, high = (np.concatenate(f) for f in zip(*found))
-    head = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]]) if len(asked) else np.zeros(0, int)
-    return ids[asked[head]], b, low, high, np.diff(np.r_[head, len(asked)])
+    return ids[asked], b, low, high
 
 
 def _exact(width: int, least: float):
