@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.prose_kernel import SHAPE, STATISTICS, statistics, vocabulary
-from caseloom.plans.tables import spread, written
+from caseloom.plans.tables import small, spread, written
 
 #: Documents of a language from which its own prose is estimated. A rarer one is compared in SHAPE with the prose of all.
 ENOUGH = 40
@@ -76,9 +76,12 @@ def common_words(df: DataFrame, text: str, lang: str) -> dict[str, tuple[str, ..
 
     rows = df.where(F.col(text).isNotNull()).select(declared(F.col(lang)).alias("language"), F.col(text).alias("text")).where("language != ''")
     counts = spread(rows).mapInArrow(count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy("language")
-    best = counts.withColumn("documents", F.max(F.when(F.col("word") == "", F.col("n"))).over(of)).where(f"documents >= {ENOUGH} and word != '' and n >= {COMMON_SHARE} * documents")
-    best = best.withColumn("place", F.row_number().over(of.orderBy(F.desc("n"), "word"))).where(f"place <= {COMMON}")
+    counts = written(counts, "word-counts")
+    sizes = counts.where(f"word = '' and n >= {ENOUGH}").select("language", F.col("n").alias("documents"))  # one row for each language
+    frequent = counts.where("word != ''").join(small(sizes, sizes.count(), 20), "language").where(f"n >= {COMMON_SHARE} * documents")
+    # of these a language has no more than the words of a document divided by the share
+    place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))
+    best = frequent.withColumn("place", place).where(f"place <= {COMMON}")
     out: dict[str, tuple[str, ...]] = {}
     for row in best.orderBy("language", "place").select("language", "word").collect():  # COMMON rows for each language
         out[row.word] = (*out.get(row.word, ()), row.language)
