@@ -7,6 +7,7 @@ small), so wrapped prose reads as the unwrapped does, while items of a list and
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import regex
 
@@ -31,7 +32,7 @@ def words(text: str) -> list[str]:
 
 def vocabulary(text: str) -> set[str]:
     """The different words of a text that may be common ones: no numbers, and no single letters but Han characters."""
-    return {w for w in words(_INVISIBLE.sub("", text)) if not w[0].isnumeric() and (len(w) > 1 or w > "⺀")}
+    return {w for w in set(words(_INVISIBLE.sub("", text))) if (len(w) > 1 or w > "⺀") and not w[0].isnumeric()}
 
 
 def _solid(text: str) -> int:
@@ -57,16 +58,17 @@ def statistics(text: str, speaking: dict[str, tuple[str, ...]]) -> tuple[str, li
     found = words(text)
     n = len(found) or 1
     votes: dict[str, int] = {}
+    tally = Counter(found)
     common = 0
-    for w in found:
-        if (of := speaking.get(w)) is not None:
-            common += 1
-            for lang in of:
-                votes[lang] = votes.get(lang, 0) + 1
+    for w in tally.keys() & speaking.keys():
+        common += tally[w]
+        for lang in speaking[w]:
+            votes[lang] = votes.get(lang, 0) + tally[w]
     sizes = [_solid(line) for line in lines]
     total = sum(sizes)
-    named = [w for w in found if not w[0].isnumeric()]
-    letters = sum(map(len, found))
+    numbers = [(len(w), c) for w, c in tally.items() if w[0].isnumeric()]
+    letters, counted = sum(map(len, found)), sum(c for _, c in numbers)
+    named = len(found) - counted
     small = lines if any(map(str.islower, text)) else [line.lower() for line in lines]
     on = [line[0].isalpha() and not line[0].isupper() for line in small[1:]] + [False]
     ended, alone, tail = 0, 0, 0
@@ -85,9 +87,9 @@ def statistics(text: str, speaking: dict[str, tuple[str, ...]]) -> tuple[str, li
     tail = 0 if bare[-1:] in _TERMINATORS else tail  # of the last line
     return max(sorted(votes), key=votes.__getitem__) if votes else "", [
         math.log1p(n),
-        sum(map(len, named)) / max(1, len(named)),
+        (letters - sum(n * c for n, c in numbers)) / max(1, named),
         max(0, total - letters - sum(map(text.count, _PUNCTUATION))) / total,
-        (n - len(named)) / n if found else 0.0,
+        counted / n,
         ended / max(1, total - tail),
         common / n,
         math.log(n / (len(_END.findall(text)) + 1)),

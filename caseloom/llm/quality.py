@@ -57,22 +57,21 @@ def common_words(df: DataFrame, text: str, lang: str) -> dict[str, tuple[str, ..
     """Languages by common word: the COMMON words in the most documents of each declared language of ENOUGH documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, str]] = Counter()
+        seen: dict[str, Counter[str]] = {}
 
-        def flushed() -> pa.RecordBatch:
-            langs, found = zip(*seen)
-            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(list(seen.values()), pa.int64())], ["language", "word", "n"])
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for language, found in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["language", "word", "n"])
             seen.clear()
-            return out
 
         for batch in batches:
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.update((language, w) for w in vocabulary(t))
-                seen[language, ""] += 1  # the documents themselves
-                if len(seen) > 300_000:
-                    yield flushed()
-        if seen:
-            yield flushed()
+                own = seen.setdefault(language, Counter())
+                own.update(vocabulary(t))
+                own[""] += 1  # the documents themselves
+            if sum(map(len, seen.values())) > 300_000:
+                yield from flushed()
+        yield from flushed()
 
     rows = df.where(F.col(text).isNotNull()).select(declared(F.col(lang)).alias("language"), F.col(text).alias("text")).where("language != ''")
     counts = spread(rows).mapInArrow(count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
