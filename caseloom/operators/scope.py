@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from caseloom.operators.ranking import rank_by_candidate
 
+#: Candidates of one part, at most about.
+PART = 16_000
+
 
 class Missing(Enum):
     """What becomes of a query that has no scope."""
@@ -23,18 +26,19 @@ def build_scope(queries: DataFrame, candidates: DataFrame, slack: int = 1, unkno
     """(query_id, candidate_id, pos) with candidate.year <= query.year + max(0, slack).
 
     queries: query_id, year; candidates: candidate_id, year, pos. A query of year 0 (or null) has all candidates, or none;
-    a candidate of year 0 is in every scope. The range condition runs as an equi-join on years: there are few distinct
-    candidate years, each query lists those it may see, and pairs appear only where they are in scope.
+    a candidate of year 0 is in every scope. Candidates are dealt to parts, as one list for each year and part, and each query meets
+    the lists of each part: years are compared once a list, and parts have equal shares of the pairs, whatever years are common.
     """
     if unknown not in ("all", "none"):
         raise ValueError("unknown must be 'all' or 'none'")
-    q = queries.select("query_id", F.coalesce("year", F.lit(0)).alias("_qy"))
-    c = candidates.select("candidate_id", "pos", F.coalesce("year", F.lit(0)).alias("_cy"))
-    years = c.groupBy().agg(F.sort_array(F.collect_set("_cy")).alias("_years"))  # one row of distinct years
-    limit = F.col("_qy") + max(0, slack)
-    visible = F.when(F.col("_qy") == 0, F.col("_years") if unknown == "all" else F.array().cast("array<int>")).otherwise(F.filter("_years", lambda y: y <= limit))
-    listed = q.join(F.broadcast(years)).select("query_id", F.explode(visible).alias("_cy"))
-    pairs = listed.join(c, "_cy").select("query_id", "candidate_id", "pos")
+    parts = max(4 * queries.sparkSession.sparkContext.defaultParallelism, -(-candidates.count() // PART))
+    of_all = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")
+    q = queries.select("query_id", F.coalesce("year", F.lit(0)).alias("_qy"), of_all).repartitionById(parts, "_part")
+    c = candidates.select(F.struct("candidate_id", "pos").alias("_c"), F.coalesce("year", F.lit(0)).alias("_cy"), F.pmod(F.xxhash64("candidate_id"), F.lit(parts)).cast("int").alias("_part"))
+    lists = c.groupBy("_part", "_cy").agg(F.collect_list("_c").alias("_c")).select("_part", "_cy", F.col("_c.candidate_id").alias("_candidate_id"), F.col("_c.pos").alias("_pos"))
+    visible = F.when(F.col("_qy") == 0, F.lit(unknown == "all")).otherwise(F.col("_cy") <= F.col("_qy") + max(0, slack))
+    met = q.join(lists.repartitionById(parts, "_part"), "_part").where(visible)
+    pairs = met.select("query_id", "_pos", F.posexplode("_candidate_id").alias("_at", "candidate_id")).select("query_id", "candidate_id", F.get("_pos", F.col("_at")).alias("pos"))
     return pairs.where(F.col("query_id") != F.col("candidate_id")) if exclude_self else pairs
 
 
